@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, simhash
+from . import bpe, exact_dedup, langid, mixing, simhash
 
-MODULES = [simhash, mixing, langid, exact_dedup]
+MODULES = [simhash, bpe, mixing, langid, exact_dedup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
