@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, pii, simhash
+from . import bpe, exact_dedup, langid, lm_score, mixing, pii, simhash
 
-MODULES = [simhash, bpe, mixing, pii, langid, exact_dedup]
+MODULES = [simhash, bpe, mixing, pii, lm_score, langid, exact_dedup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
