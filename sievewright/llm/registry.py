@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, line_dedup, lm_score, mixing, pii, simhash
+from . import bpe, embedding_dedup, exact_dedup, langid, line_dedup, lm_score, mixing, pii, simhash, warc
 
-MODULES = [simhash, bpe, mixing, pii, lm_score, line_dedup, langid, exact_dedup]
+MODULES = [warc, simhash, embedding_dedup, bpe, mixing, pii, lm_score, line_dedup, langid, exact_dedup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
