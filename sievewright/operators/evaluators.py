@@ -1,0 +1,94 @@
+"""Evaluators: each a struct column (passed, score, reasons) of a record; chains and roll-ups of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.parse import holds_json
+from ..functions.vectors import cosine
+
+
+def result(reasons: dict[str, Column], score: Column | None = None) -> Column:
+    """struct(passed, score, reasons): passed if no reason holds; the score is 1 or 0 unless given."""
+    found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in reasons.items()]), lambda x: x.isNotNull())
+    passed = F.size(found) == 0
+    return F.struct(passed.alias("passed"), (passed if score is None else score).cast("double").alias("score"), found.alias("reasons"))
+
+
+def completeness(instruction: Column, response: Column) -> Column:
+    return result({"missing_instruction": T.blank(instruction), "missing_response": T.blank(response)})
+
+
+def length_filter(content: Column, least: int = 0, most: int | None = None) -> Column:
+    n = F.length(F.coalesce(content, F.lit("")))
+    return result({"too_short": n < least, "too_long": n > most if most is not None else F.lit(False)})
+
+
+def length_window(instruction: Column, response: Column, instruction_tokens: tuple[int, int] = (3, 512), response_tokens: tuple[int, int] = (10, 2048)) -> Column:
+    a, b = T.estimated_tokens(instruction), T.estimated_tokens(response)
+    return result({
+        "instruction_too_short": a < instruction_tokens[0], "instruction_too_long": a > instruction_tokens[1],
+        "response_too_short": b < response_tokens[0], "response_too_long": b > response_tokens[1],
+    })
+
+
+def blacklisted(content: Column, patterns: list[str]) -> Column:
+    """The patterns that the text matches."""
+    return F.filter(F.array(*[F.when(F.coalesce(content, F.lit("")).rlike(p), F.lit(p)) for p in patterns]), lambda x: x.isNotNull())
+
+
+def regex_filter(content: Column, patterns: list[str] = (), require_json: bool = False) -> Column:
+    reasons = {"regex_blacklist_hit": F.size(blacklisted(content, list(patterns))) > 0} if patterns else {}
+    if require_json:
+        reasons["json_invalid"] = ~holds_json(content)
+    return result(reasons or {"regex_blacklist_hit": F.lit(False)})
+
+
+def similarity(a: Column, b: Column, least: float = 0.3, most: float = 0.95) -> Column:
+    """a, b: embeddings; null for an empty text."""
+    s = F.round(cosine(a, b), 4)
+    return result({"empty_text": a.isNull() | b.isNull(), "below_min_similarity": s < least, "above_max_similarity": s > most}, F.coalesce(s, F.lit(0.0)))
+
+
+def judged(score: Column, threshold: float = 4.0) -> Column:
+    """score: as read from the judge's answer, null if it could not be read."""
+    return result({"score_parse_failed": score.isNull(), "below_threshold": score < threshold}, score)
+
+
+def all_results(df: DataFrame, evaluators: dict[str, Column], out: str = "results") -> DataFrame:
+    """Every evaluator's result, in an array."""
+    return df.withColumn(out, F.array(*[F.struct(F.lit(k).alias("evaluator"), c["passed"].alias("passed"), c["score"].alias("score"), c["reasons"].alias("reasons")) for k, c in evaluators.items()]))
+
+
+def chain(df: DataFrame, evaluators: dict[str, Column], out: str = "rejected_by") -> DataFrame:
+    """The first evaluator that the record fails, null if none; later ones are not evaluated then."""
+    return df.withColumn(out, F.coalesce(*[F.when(~c["passed"], F.lit(k)) for k, c in evaluators.items()]))
+
+
+def record_summary(results: Column) -> Column:
+    """struct(aggregate_score, passed_all) of an array of results: the mean of the scores there are."""
+    scores = F.filter(F.transform(results, lambda r: r["score"]), lambda x: x.isNotNull())
+    mean = F.when(F.size(scores) > 0, F.round(F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.size(scores), 4))
+    return F.struct(mean.alias("aggregate_score"), F.forall(results, lambda r: r["passed"]).alias("passed_all"))
+
+
+def summarize(df: DataFrame, results: str = "results") -> DataFrame:
+    """A row for each evaluator: counts, pass rate, mean and nearest-rank percentiles of the scores."""
+    r = df.select(F.explode(results).alias("r")).select("r.*")
+    return r.groupBy("evaluator").agg(
+        F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"),
+        (F.count_if("passed") / F.count("*")).alias("pass_rate"), F.avg("score").alias("avg_score"),
+        F.expr("percentile_disc(0.5) within group (order by score)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by score)").alias("p95"),
+    )
+
+
+def reason_counts(df: DataFrame, results: str = "results") -> DataFrame:
+    r = df.select(F.explode(results).alias("r")).select("r.evaluator", F.explode("r.reasons").alias("reason"))
+    return r.groupBy("evaluator", "reason").agg(F.count("*").alias("n"))
+
+
+def warnings(summary: DataFrame, most: float = 0.25) -> DataFrame:
+    """Evaluators that more than this share fail."""
+    return summary.where(1 - F.col("pass_rate") > most).select("evaluator", (1 - F.col("pass_rate")).alias("failure_rate"))

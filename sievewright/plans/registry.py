@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import documents, tables
+
+QUERIES = documents.QUERIES | tables.QUERIES
+SQL = documents.SQL | tables.SQL
