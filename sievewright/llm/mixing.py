@@ -47,7 +47,7 @@ def _placed(light: DataFrame, weights: dict[str, float] | None, total: int | Non
     sizes = sizes.withColumn("w", F.when(F.col("size") > 0, weight).otherwise(0.0))
     whole = sizes.agg(F.sum("w").alias("all_w"), F.sum("size").alias("all_n"))
     wanted = F.col("all_n") if total is None else F.lit(int(total))
-    sizes = sizes.crossJoin(whole).select(F.col("source").alias("source_"), "size", F.coalesce(F.floor(wanted * F.col("w") / F.col("all_w")), F.lit(0)).cast("long").alias("budget"))
+    sizes = sizes.crossJoin(whole).select(F.col("source").alias("source_"), "size", F.when(F.col("all_w") > 0, F.floor(wanted * F.col("w") / F.col("all_w"))).otherwise(0).cast("long").alias("budget"))
     sums = sums.select(F.col("source").alias("source_"), F.col("range").alias("range_"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
     sums = sums.join(sizes.withColumnRenamed("source_", "source__"), F.col("source_").eqNullSafe(F.col("source__")))
     own = Window.partitionBy("source", "range").orderBy("key", "doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
