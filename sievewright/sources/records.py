@@ -22,7 +22,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """With a header; all columns are strings, quoted line feeds and doubled quotes are understood, empty stays empty."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', nullValue="\0", emptyValue="")
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"').na.fill("")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

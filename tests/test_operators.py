@@ -1,0 +1,169 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievewright.functions import checks as C
+from sievewright.functions import parse as P
+from sievewright.functions import text as T
+from sievewright.operators import dedup as D
+from sievewright.operators import evaluators as E
+from sievewright.operators import sampling as S
+from sievewright.operators import stats as N
+from sievewright.operators import strategies as G
+from sievewright.sources import records as R
+from sievewright.streaming import pipeline as L
+
+
+def values(spark, texts, column):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    return [r[0] for r in df.orderBy("k").select(column(F.col("t"))).collect()]
+
+
+def test_text(spark):
+    assert values(spark, ["  a b　", "", None], T.strip) == ["a b", "", None]
+    assert values(spark, ["Été_1, L'a", ""], T.tokens) == [["été_1", "l", "a"], []]
+    assert values(spark, ["a b  c\n"], lambda c: T.ngrams(T.words(c), 2)) == [["a b", "b c"]]
+    assert values(spark, ["a", "", "a b c d e f"], lambda c: T.shingles(T.words(c), 5)) == [["a"], [], ["a b c d e", "b c d e f"]]
+    assert values(spark, ["", " ", "abc", "a" * 9, None], T.estimated_tokens) == [0, 0, 1, 2, 0]
+
+
+def test_judge_score(spark):
+    assert values(spark, ["4", "4.5", "Year 2024, score 3", "9", "no number", None], P.judge_score) == [4.0, 4.5, 3.0, None, None, None]
+
+
+def test_parsers(spark):
+    assert values(spark, ["<think>a</think> b"], P.reasoning)[0].asDict() == {"reasoning": "a", "answer": "b"}
+    assert values(spark, ["depth: 4, Style = 9", "none"], lambda c: P.criteria_scores(c, ["depth", "style"])) == [{"depth": 4.0}, None]
+    assert values(spark, ["depth: 4"], lambda c: P.weighted_score(P.criteria_scores(c, ["depth", "style"]), {"depth": 1, "style": 1})) == [2.0]
+    assert values(spark, ['{"a": 1}', "x [1] y", "nothing", None, '{"a": 1} x'], P.holds_json) == [True, True, False, False, True]
+    assert P.variants("1. a\n2) b\nc\n", 2) == ["a", "b"]
+    assert values(spark, ["```json\n{}\n```", "x {1} y", "z"], P.fenced) == ["{}", "{1}", "z"]
+
+
+def test_checks(spark):
+    text = "One two. Three!\n\n- four"
+    cases = [("sentence_count", 3, True), ("no_word", "Two", False), ("word_count", 7, True), ("bullet_format", 1, True), ("ends_with", "four", True), ("paragraph_count", 2, True), ("is_uppercase", None, False), ("nonsense", None, False)]
+    for kind, value, want in cases:
+        assert values(spark, [text], lambda c: C.check(c, kind, value, strict=True)) == [want], kind
+    assert values(spark, ["I'm sorry, I cannot do that", "Sure"], C.refuses) == [True, False]
+
+
+def greedy(n, edges):
+    near, kept = {}, []
+    for a, b in edges:
+        near.setdefault(b, set()).add(a)
+    for k in range(n):
+        if not near.get(k, set()) & set(kept):
+            kept.append(k)
+    return kept
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_first_wins_is_the_sequential_rule(spark, seed):
+    r = random.Random(seed)
+    edges = sorted({tuple(sorted(r.sample(range(40), 2))) for _ in range(60)} | {(0, 1), (1, 2), (2, 3)})
+    nodes = spark.range(40).select(F.col("id"))
+    got = D.first_wins(nodes, spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(x.id for x in got.collect()) == greedy(40, edges)
+
+
+def test_first_wins_without_edges(spark):
+    assert D.first_wins(spark.range(3), spark.createDataFrame([], "a long, b long")).count() == 3
+
+
+def test_study_dedup_against_loop(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    rows = sorted((r.id, r.text) for r in docs.collect())
+    kept, hashes, want = [], set(), {}
+    for k, t in rows:
+        w = t.lower().split()
+        g = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+        if t.strip() in hashes:
+            want[k] = "exact_duplicate"
+        elif any(len(g & h) / len(g | h) >= 0.8 for h in kept):
+            want[k] = "near_duplicate"
+        else:
+            want[k] = "kept"
+            kept.append(g)
+            hashes.add(t.strip())
+    assert {r.id: r.status for r in D.study_dedup(docs).collect()} == want
+
+
+def test_evaluators(spark):
+    df = spark.createDataFrame([(1, "do it", "x" * 100), (2, "", " "), (3, None, None)], "id int, i string, r string")
+    both = E.all_results(df, {"c": E.completeness(F.col("i"), F.col("r")), "w": E.length_window(F.col("i"), F.col("r"), (1, 9), (1, 99))})
+    got = {r.id: [(x.passed, x.reasons) for x in r.results] for r in both.collect()}
+    assert got[1] == [(True, []), (True, [])]
+    assert got[2] == got[3] == [(False, ["missing_instruction", "missing_response"]), (False, ["instruction_too_short", "response_too_short"])]
+    assert {r.evaluator: r.p50 for r in E.summarize(both).collect()} == {"c": 0.0, "w": 0.0}
+
+
+def test_statistics_of_few(spark):
+    df = spark.createDataFrame([(1, 2), (2, 4), (3, 6), (None, 1)], "x int, y int")
+    assert N.spearman(df, "x", "y").first().rho == pytest.approx(1.0)
+    assert N.kendall(df, "x", "y").first().tau_b == pytest.approx(1.0)
+    assert N.spearman(df.limit(0), "x", "y").first().rho is None
+
+
+def test_histogram_quantile(spark):
+    b = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 6.0), ("a", float("inf"), 8.0)], "k string, le double, count double")
+    assert N.histogram_quantile(b, ["k"], 0.5).first().value == pytest.approx(1.5)
+
+
+def test_seeded_indices():
+    assert S.seeded_indices(3, 5, 1) == [0, 1, 2]
+    assert S.seeded_indices(100, 5, 1) == sorted(random.Random(1).sample(range(100), 5))
+
+
+def test_io(spark, tmp_path):
+    df = spark.createDataFrame([("1", 'a "q",\nb', {"n": "x"}), ("2", "", None)], "id string, t string, m map<string,string>")
+    for kind in ("jsonl", "csv", "parquet"):
+        R.write_records(df, f"{tmp_path}/{kind}", kind)
+        back = {r.id: r.t for r in R.read_records(spark, f"{tmp_path}/{kind}", kind).collect()}
+        assert back == {"1": 'a "q",\nb', "2": ""}
+    with pytest.raises(ValueError):
+        R.read_records(spark, "x", "xml")
+
+
+def test_envelope_and_normalize(spark):
+    df = spark.createDataFrame([("7", "do", "out", None), (None, "go", None, "r")], "id string, instruction string, output string, response string")
+    assert [r.id is not None for r in R.envelope(df).collect()] == [True, True]
+    assert sorted((r.instruction, r.response) for r in R.normalize(df).collect()) == [("do", "out"), ("go", "r")]
+
+
+def test_clients():
+    f = G.Fallback(G.EchoClient(fail_every=1), G.EchoClient(lambda m: "second"))
+    assert [f.generate([{"role": "user", "content": "x"}]) for _ in range(5)] == ["second"] * 5
+    now = [0.0]
+    b = G.Bucket(60, 600, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    for _ in range(61):
+        b.wait(1)
+    assert now[0] == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        b.wait(601)
+    w = G.Window(10, calibrate=3)
+    for s in [1, 1, 1] + [1] * 5 + [9] * 5:
+        w.report(s)
+    assert w.size == 7
+
+
+def test_pipeline_statuses_and_resume(spark, tmp_path):
+    df = spark.createDataFrame([("a", "long enough text", 0), ("b", "no", 1)], "id string, text string, index long")
+    strategy = lambda d: G.evolve(d, G.EchoClient, "text")
+    rules = {"length": E.length_filter(F.col("text"), 5)}
+    first = L.run_batch(df, str(tmp_path), strategy, rules)
+    assert {r.id: r.status for r in first.collect()} == {"a": "COMPLETED", "b": "REJECTED"}
+    assert L.run_batch(df, str(tmp_path), strategy, rules).count() == 2
+    bad = L.process(df, lambda d: G.evolve(d, lambda: G.EchoClient(fail_every=1), "text"), rules)
+    assert {r.status for r in bad.collect()} == {"FAILED"}
+
+
+def test_self_play_and_questions(spark):
+    df = spark.createDataFrame([("t",)], "topic string")
+    talk = G.self_play(df, G.EchoClient, turns=2).first()
+    assert talk.num_turns == 4 and [m.role for m in talk.conversation] == ["asker", "expert"] * 2
+    answer = '[{"question": "q", "answer": "a", "difficulty": "easy"}]'
+    qa = G.question_answers(df, lambda: G.EchoClient(lambda m: answer), "topic").first()
+    assert qa.qa_pairs[0].question == "q"
+    assert G.paraphrase(df, lambda: G.EchoClient(lambda m: "1. x\n2. y"), "topic", 2).first().variants == ["x", "y"]
