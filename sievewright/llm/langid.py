@@ -158,9 +158,19 @@ def classify(net: Network, texts: pa.Array) -> tuple[list[str | None], np.ndarra
 
 
 def trained(df: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Network:
-    """A network fitted on at most sample_rows labelled documents of each language."""
-    labelled = df.where(col(lang).isNotNull() & (F.length(col(text)) > 0)).select(col(lang).alias("lang"), col(text).alias("text"), F.xxhash64(col(order), col(text)).alias("h"))
-    some = labelled.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= sample_rows)
+    """A network fitted on at most sample_rows labelled documents of each language, the least by a hash.
+
+    Languages are counted first; a cutoff of the hash then leaves some four times the rows wanted of each, so
+    that what is ranked does not grow with the table.
+    """
+    labelled = df.where(col(lang).isNotNull() & (F.length(col(text)) > 0))
+    counts = {r[0]: r[1] for r in labelled.groupBy(col(lang)).count().collect()}
+    if not counts:
+        return train([])
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (4 * sample_rows + 100) / n))])
+    labelled = labelled.select(col(lang).alias("lang"), col(text).alias("text"), F.xxhash64(col(order), col(text)).alias("h"))
+    drawn = labelled.where(F.pmod("h", F.lit(1 << 53)) < share[F.col("lang")] * float(1 << 53))
+    some = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 53)), "text"))).where(F.col("rank") <= sample_rows)
     return train(sorted((r.lang, r.text) for r in some.select("lang", "text").collect()))
 
 
