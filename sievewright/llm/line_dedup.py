@@ -131,8 +131,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from group(np.concatenate(held))
             held = []
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        sizes = np.diff(cuts)
-        for g in np.flatnonzero(sizes > 1) if not held else np.r_[0, np.flatnonzero(sizes > 1)]:
+        starts = cuts[:-1]
+        # a run matters if it has two lines or more, and a segment among them; the first and last may go on elsewhere
+        line = ref.view(np.uint64) >> np.uint64(1)
+        runs = (np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)) & (np.bitwise_or.reduceat(ref, starts) & 1 == 1)
+        for g in np.flatnonzero(runs) if not held else np.r_[0, np.flatnonzero(runs[1:]) + 1]:
             lo, hi = cuts[g], cuts[g + 1]
             if g == 0 and held:
                 held.append(ref[lo:hi])
