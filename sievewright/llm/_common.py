@@ -57,6 +57,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast at most.
+SMALL_ROWS = 2_000_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """The frame, computed already, with a broadcast hint if it has few rows; otherwise the join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the least node of the node's component. edges: pairs of bigints without nulls.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import col, components, fresh, stored, table
+from ._common import col, components, fresh, small, stored, table
 
 BITS = 128
 #: Two documents are near copies at this many differing bits or fewer.
@@ -252,7 +252,7 @@ def near_dedup(df: DataFrame, text: str = "text", order: str = "doc_id") -> Data
     """
     node, root = fresh(df, "node", "root")
     gone = near_groups(df, text, order).where("node <> root").select(F.col("node").alias(node))
-    return df.join(gone, col(order).cast("long") == col(node), "left_anti")
+    return df.join(small(gone), col(order).cast("long") == col(node), "left_anti")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
