@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import col, fresh, stored, table
+from ._common import col, fresh, small, stored, table
 
 SEED = "mix-1"
 #: Rows in one range of keys, about; a range is sorted by one task.
@@ -91,7 +91,7 @@ def mix_rows(df: DataFrame, weights: dict[str, float] | None = None, total: int
         F.max(F.when(F.expr("start < budget % size"), F.struct("key", "doc_id", "n"))).alias(last),
     ).withColumnRenamed("source", s)
     own = F.struct(_key(col(order), seed).alias("key"), col(order).alias("doc_id"), n.alias("n"))
-    out = df.join(cuts, col(source).cast("string").eqNullSafe(col(s)))
+    out = df.join(small(stored(cuts, "cuts")), col(source).cast("string").eqNullSafe(col(s)))
     out = out.withColumn(copies, col(whole) + F.when(col(last).isNotNull() & (own <= col(last)), 1).otherwise(0)).where(col(copies) > 0)
     return out.withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("long"), col(copies)))).select([col(c) for c in df.columns])
 
