@@ -345,6 +345,26 @@ def test_lm_prefers_what_it_knows(spark, small):
     assert out.perplexity[-1] > 1.5 * out.perplexity.drop(-1).median()
 
 
+def test_lm_trains_on_every_window(spark):
+    docs = [(k, np.full(n, k, "<u2").tobytes()) for k, n in enumerate([1, 5, 24, 25, 100, 700, 0] * 5)] + [(None, np.full(3, 50, "<u2").tobytes())]
+    tokens = spark.createDataFrame(docs, "doc_id long, ids binary")
+    rounds, trainers = 3, 4
+    got = lm_score.parts(tokens, rounds, trainers)
+    assert Counter(bytes(r.ids) for r in got.collect()) == Counter(x for _, x in docs if x)
+    model, seen = lm_score.Model(np.ones(lm_score.SIZE)), 0
+    for k in range(rounds):
+        own = got.where(f"round = {k}").repartition(trainers, "trainer").sortWithinPartitions("trainer", "z").select("trainer", "ids")
+        made = own.mapInArrow(lm_score._trainer(spark.sparkContext.broadcast(model), 0.001), "trainer long, n long, params binary")
+        seen += sum(r.n for r in made.collect())
+    assert seen == sum(-(-len(x) // 2 // lm_score.STEP) for _, x in docs)
+
+
+def test_lm_steps_grow_with_the_corpus():
+    steps = [lm_score.plan(n)[0] for n in (0, 10**6, 10**8, 10**10)]
+    assert steps == sorted(set(steps))
+    assert all(a * b * lm_score.TRAINER >= n for n in (0, 1, 10**6, 10**9) for a, b in [lm_score.plan(n)])
+
+
 def test_lm_hard(hard, empty):
     rows = lm_score.lm_scores(hard).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in HARD)
