@@ -359,6 +359,16 @@ def test_lm_trains_on_every_window(spark):
     assert seen == sum(-(-len(x) // 2 // lm_score.STEP) for _, x in docs)
 
 
+def test_lm_sees_hundreds_of_subwords_back():
+    r = np.random.default_rng(3)
+    m, doc = lm_score.Model(np.ones(lm_score.SIZE)), r.integers(0, lm_score.SIZE, 1000)
+    at = lambda d: m.score(*lm_score.windows([d])[:2]).ravel()
+    for place in (300, 511, 512, 767, 900):
+        other = doc.copy()
+        other[place - 200] = (other[place - 200] + 1) % lm_score.SIZE
+        assert at(doc)[place] != at(other)[place]
+
+
 def test_lm_steps_grow_with_the_corpus():
     steps = [lm_score.plan(n)[0] for n in (0, 10**6, 10**8, 10**10)]
     assert steps == sorted(set(steps))
