@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,7 +164,10 @@ def stream_pipeline(spark, d):  # noqa: ANN001, ANN201
     """The same over a stream of files, in micro-batches."""
     schema = table(spark, d, "benchmark").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/benchmark.parquet*").select(F.col("item_id").cast("string").alias("id"), "text", F.col("item_id").alias("index"))
-    where = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local") else spark.sparkContext.getConf().get("spark.checkpoint.dir") + "/stream"
+    there = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+    where = f"{there or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"  # of this call alone: records of another would count as done
     L.run_stream(stream, where, _strategy, {"length-filter": E.length_filter(F.col("evolved"), 20)}).awaitTermination()
     return spark.read.parquet(f"{where}/records").select("id", "status", "evolved")
 
