@@ -193,7 +193,11 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", order: str =
 
 
 def known_language(df: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows whose text is in a language that the labels know; columns as they were."""
+    """The rows whose text is neither null, empty nor taken for noise; columns as they were.
+
+    A text in a language without labels has no class of its own: it stays, under the name of a known language,
+    unless the network takes it for the made-up noise.
+    """
     (out,) = fresh(df, "identified")
     return identify(df, text, lang, order, out, sample_rows).where(~F.col(out + ".rejected")).drop(out)
 
