@@ -15,6 +15,10 @@ SCHEMES = ("http", "https", "ftp", "ftps", "ssh", "sftp")
 #: Words after which a secret stands, and words after which an account number stands.
 SECRETS = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "bearer")
 ACCOUNTS = ("account", "acct", "iban", "konto", "compte", "cuenta", "card", "karte", "carte", "tarjeta")
+#: Words after which a phone number stands in a national form.
+PHONES = ("tel", "telephone", "telefon", "téléphone", "teléfono", "telefono", "phone", "mobile", "mobil", "móvil", "cell", "fax")
+#: Words that may stand between a cue for an account or phone and its number: one of each, in this order.
+LINKS = (("number", "nummer", "numéro", "número", "numero", "no", "nr", "n°"), ("is", "ist", "est", "es"))
 #: Characters between a cue and what it announces, at most, and what they may be.
 GAP, BETWEEN = 12, " =:\"'!#$%&*.\t"
 
@@ -169,7 +173,7 @@ def _iban(t: str, at: int) -> Found | None:
 
 
 def number(t: str, at: int) -> Found | None:
-    """at: the first digit of a run, not inside a word. An IP address, social security number, or card number by its check digit."""
+    """at: the first digit of a run, not inside a word. An IP address, social security number, phone number of the form 555-123-4567, or card number by its check digit."""
     if at > 1 and t[at - 2 : at].isascii() and t[at - 2 : at].isupper() and t[at - 2 : at].isalpha() and (at == 2 or not _word(t[at - 3])):
         return _iban(t, at - 2)
     if at > 0 and (_word(t[at - 1]) or t[at - 1] == "." and at > 1 and _digit(t[at - 2])):
@@ -187,6 +191,8 @@ def number(t: str, at: int) -> Found | None:
         if parts[0] not in ("000", "666") and parts[0] < "900" and parts[1] != "00" and parts[2] != "0000":
             return at, hi, "ssn"
         return None
+    if sep == "-" and sizes == [3, 3, 4] and not (hi < len(t) and (_word(t[hi]) or t[hi] == "-")) and not (at > 0 and t[at - 1] == "-"):
+        return at, hi, "phone"
     if sizes[0] == 4 and len(parts) > 2:  # a card number in groups
         for n in (5, 4, 3):
             if n <= len(parts):
@@ -205,6 +211,57 @@ def _after(t: str, end: int) -> int:
     return hi
 
 
+def _linked(t: str, end: int) -> int:
+    """The place after a cue's end, signs and LINKS; end itself if no sign follows the cue."""
+    lo = _after(t, end)
+    for words in LINKS if lo > end else ():
+        for word in words:
+            stop = lo + len(word)
+            if t[lo:stop].lower() == word and not t[stop : stop + 1].isalpha():
+                lo = _after(t, stop)
+                break
+    return lo
+
+
+def _groups(t: str, at: int) -> tuple[int, list[int]]:
+    """(end, sizes) of groups of digits with single separators, the first perhaps in brackets."""
+    hi, sizes = at, []
+    if hi < len(t) and t[hi] == "(":
+        end = _run(t, hi + 1)
+        if end == hi + 1 or t[end : end + 1] != ")":
+            return at, []
+        sizes, hi = [end - hi - 1], end + 1
+    while True:
+        p = hi + (bool(sizes) and t[hi : hi + 1] in (" ", ".", "-", "/"))
+        if (end := _run(t, p)) == p:
+            return hi, sizes
+        sizes.append(end - p)
+        hi = end
+
+
+def bracketed(t: str, at: int) -> Found | None:
+    """at: an opening bracket. A phone number in a national form: an area code of 2 to 5 digits in it, which is three long or begins with 0, then groups of 2 to 8; 8 to 12 digits in all, ten if the code is no 0 code."""
+    if at > 0 and _word(t[at - 1]):
+        return None
+    hi, sizes = _groups(t, at)
+    if len(sizes) < 2 or not 2 <= sizes[0] <= 5 or any(not 2 <= n <= 8 for n in sizes[1:]) or hi < len(t) and _word(t[hi]):
+        return None
+    if t[at + 1] == "0" and 8 <= sum(sizes) <= 12 or sizes in ([3, 3, 4], [3, 7]):
+        return at, hi, "phone"
+    return None
+
+
+def cued_phone(t: str, at: int, cue: str) -> Found | None:
+    """at: the place of a cue. 7 to 12 digits in groups after it, perhaps with LINKS between; forms with a plus sign are phone()'s."""
+    end = at + len(cue)
+    if at > 0 and t[at - 1].isalnum() or (lo := _linked(t, end)) == end:
+        return None
+    hi, sizes = _groups(t, lo)
+    if not 7 <= sum(sizes) <= 12 or hi < len(t) and _word(t[hi]) or _ipv4(t, lo):
+        return None
+    return lo, hi, "phone"
+
+
 def secret(t: str, at: int, cue: str) -> Found | None:
     """at: the place of a cue. Of 16 characters or more, with letters and digits, after a sign between."""
     end = at + len(cue)
@@ -223,15 +280,11 @@ def secret(t: str, at: int, cue: str) -> Found | None:
 
 
 def account(t: str, at: int, cue: str) -> Found | None:
-    """at: the place of a cue. A number of 6 to 19 digits after it, perhaps with "number", "no" or the like between."""
+    """at: the place of a cue. A number of 6 to 19 digits after it, perhaps with LINKS between, as in "account number is"."""
     end = at + len(cue)
     if at > 0 and t[at - 1].isalnum():
         return None
-    lo = _after(t, end)
-    for word in ("number", "nummer", "numero", "no", "nr", "n°"):
-        if t[lo : lo + len(word)].lower() == word:
-            lo = _after(t, lo + len(word))
-            break
+    lo = _linked(t, end)
     if lo == end:
         return None
     hi, digits, last = lo, 0, lo
@@ -246,12 +299,14 @@ def account(t: str, at: int, cue: str) -> Found | None:
 
 def _anchors() -> dict[str, list[tuple[int, Callable]]]:
     """Anchor -> (order among those of one place, parser of text and place)."""
-    found: dict[str, list] = {"@": [(0, email)], "://": [(0, url)], "www.": [(0, url)], "+": [(0, phone)]}
+    found: dict[str, list] = {"@": [(0, email)], "://": [(0, url)], "www.": [(0, url)], "+": [(0, phone)], "(": [(0, bracketed)]}
     found |= {d: [(1, number)] for d in "0123456789"}
     for cue in SECRETS:
         found.setdefault(cue, []).append((0, lambda t, at, cue=cue: secret(t, at, cue)))
     for cue in ACCOUNTS:
         found.setdefault(cue, []).append((0, lambda t, at, cue=cue: account(t, at, cue)))
+    for cue in PHONES:
+        found.setdefault(cue, []).append((0, lambda t, at, cue=cue: cued_phone(t, at, cue)))
     return found
 
 

@@ -299,6 +299,17 @@ def test_language_hard(hard, empty):
     assert langid.known_language(unlabelled).count() == 0
 
 
+@pytest.mark.parametrize("text, want", [
+    ("call (017) 555-7713 now", [("phone", "(017) 555-7713")]), ("at 555-123-4567.", [("phone", "555-123-4567")]), ("Tel. 030 1234567", [("phone", "030 1234567")]),
+    ("phone number is 555 1234", [("phone", "555 1234")]), ("Telefon: (030) 1234 5678", [("phone", "(030) 1234 5678")]), ("my account number is 12345678", [("account", "12345678")]),
+    ("Konto Nummer ist 12345678", [("account", "12345678")]), ("+1 (743) 555-3824", [("phone", "+1 (743) 555-3824")]), ("hotel 1234567, phone 12, (2023) 100-2000, (see 12) 5551234", []),
+    ("tel 10.20.30.40", [("ip", "10.20.30.40")]), ("1-555-123-4567-9", []), ("phone: +49 30 1234 5678", [("phone", "+49 30 1234 5678")]), ("account nothing 123456", []),
+])
+def test_pii_national_phones_and_linked_accounts(text, want):
+    assert [(kind, text[lo:hi]) for lo, hi, kind in pii.find(text, pii.automaton())] == want
+
+
+
 # language-model scores
 
 
