@@ -44,19 +44,36 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame, computed now, with a lineage that ends at files of the shared folder; they go with the reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Folders that this process has written and not removed yet.
+_made: list[str] = []
+
+
+def place(spark: SparkSession, what: str) -> str:
+    """A new folder's path in the shared folder; sweep() removes it."""
+    _made.append(path := f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return path
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read again: smaller than a checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    """The frame written as Parquet to the shared folder and read again: smaller than a checkpoint, and it cuts the lineage."""
+    path = place(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """Where in the list of folders written those to come will begin."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Removes the folders written since mark() gave `since` (up to `until`). Frames that still read them can't be computed afterwards."""
+    for path in _made[since:until]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _made[since:until]
+
+
 #: Rows of a few numbers that are broadcast at most.
 SMALL_ROWS = 2_000_000
 
@@ -70,9 +87,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the least node of the node's component. edges: pairs of bigints without nulls.
 
     Alternating large-star and small-star passes (Kiveris et al., 2014); each ends in the shared folder, so that
-    the lineage stays short and a lost executor costs one pass. Loops and repeated edges do no harm; an empty
-    table gives an empty one. The passes end when neither changes the edges.
+    the lineage stays short and a lost executor costs one pass, and the one before is removed. Loops and repeated
+    edges do no harm; an empty table gives an empty one. The passes end when neither changes the edges.
     """
+    spark = edges.sparkSession
 
     def star(e: DataFrame, small: bool) -> DataFrame:
         both = e if small else e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -84,15 +102,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return out.where("u <> v").distinct()
 
+    def seen(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     # every edge points from the larger to the smaller node
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    mark = None
-    while True:
-        e = cut(star(star(e, small=False), small=True))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
+    at = mark()
+    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "star")
+    now, last = seen(e), None
+    while now != last and now[0]:
+        e = stored(star(star(e, small=False), small=True), "star")
+        now, last = seen(e), now
+        sweep(spark, at, at + 1)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-

@@ -2,128 +2,28 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import col, fresh, stored, table
-
-#: Slots of the filter for each row; a row sets two of them, so that about 1 in 70 is flagged by chance.
-SLOTS = 16
-#: Slots of one range of the filter, which one reducer merges; a hash has both its slots in one range.
-RANGE = 1 << 22
-#: Bytes of flags that are broadcast at once; a filter with more is applied slice by slice.
-BROADCAST = 64 << 20
-
-
-def _slots(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of 64-bit hashes: the range, and two slots in it."""
-    h = h.view(np.uint64)
-    r = (h >> np.uint64(44)) % np.uint64(ranges)
-    return r.astype(np.int64), (h & np.uint64(RANGE - 1)).astype(np.int64), ((h >> np.uint64(22)) & np.uint64(RANGE - 1)).astype(np.int64)
-
-
-def _pack(off: np.ndarray) -> bytes:
-    """Sorted offsets as differences, squeezed."""
-    return zlib.compress(np.diff(off.astype(np.uint32), prepend=np.uint32(0)).astype(np.uint32).tobytes(), 1)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint32), dtype=np.int64)
-
-
-def _first_pass(ranges: int):
-    """What a task sets in each range: its slots, and those among them that it sets more than once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in batches:
-            r, x, y = _slots(b.column(0).to_numpy(), ranges)
-            parts += [r * RANGE + x, (r * RANGE + y)[x != y]]
-        if not parts:
-            return
-        at, times = np.unique(np.concatenate(parts), return_counts=True)
-        group = at // RANGE
-        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(at) else np.zeros(1, np.int64)
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            off = at[lo:hi] % RANGE
-            yield pa.RecordBatch.from_pydict({"range": [int(group[lo])], "once": [_pack(off)], "again": [_pack(off[times[lo:hi] > 1])]})
-
-    return run
-
-
-def _second_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slots of each range that were set more than once. Rows come sorted by range."""
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"range": [now], "flags": [_pack(np.flatnonzero(seen > 1))]})
-
-    now, seen = None, np.zeros(0, np.uint8)
-    for b in batches:
-        for r, once, again in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if r != now:
-                if now is not None:
-                    yield done()
-                now, seen = r, np.zeros(RANGE, np.uint8)
-            at = _unpack(once)
-            seen[at] = np.minimum(seen[at] + 1, 2)
-            seen[_unpack(again)] = 2
-    if now is not None:
-        yield done()
-
-
-def _tester(flags, ranges: int, first: int):
-    """UDF: are both slots of this hash flagged? flags: broadcast bits of the ranges from first on."""
-
-    @F.pandas_udf("boolean")
-    def test(h):  # noqa: ANN001, ANN202
-        bits = np.frombuffer(flags.value, np.uint8)
-        r, x, y = _slots(h.to_numpy(), ranges)
-        base = (r - first) * RANGE
-        hit = np.ones(len(h), bool)
-        for at in (base + x, base + y):
-            hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return type(h)(hit)
-
-    return test
+from . import bloom
+from ._common import col, fresh, table
 
 
-def possibly_repeated(df: DataFrame, hash_col: str, flag_col: str, broadcast_bytes: int = BROADCAST) -> DataFrame:
+def possibly_repeated(df: DataFrame, hash_col: str, flag_col: str, rows: int | None = None, filter_bytes: int = bloom.FILTER_BYTES) -> DataFrame:
     """The frame with flag_col: false where the hash (a bigint without nulls) certainly occurs once.
 
     First pass: every task sends the slots that its hashes set, two to three bytes each, to the reducer of their
-    range, which keeps the slots set more than once. Second pass: these are broadcast and each row tests its own.
-    Their size is checked: a filter of more than broadcast_bytes is applied in slices, each of which reads the
-    rows of its own ranges only, so that no executor holds more than one slice for a task.
+    range, which keeps the slots set more than once. Second pass: these are broadcast, folded onto filter_bytes
+    at most, and each row tests its own. What is folded are the slots of repeated hashes alone, so the filter
+    fills with the repeats, not with the rows; the fuller it is the more rows it flags by chance. There is one
+    plan for all sizes, and no pass over the rows besides these two.
     """
-    spark = df.sparkSession
-    ranges = max(1, -(-df.count() * SLOTS // RANGE))
-    if ranges >= 1 << 20:
-        raise ValueError("more rows than the filter's ranges can be numbered for")
-    sent = df.select(hash_col).mapInArrow(_first_pass(ranges), "range long, once binary, again binary")
-    merged = sent.repartition(min(ranges, 2000), "range").sortWithinPartitions("range")
-    second = stored(merged.mapInArrow(_second_filter, "range long, flags binary"), "bloom")
-    per = max(1, broadcast_bytes * 8 // RANGE)
-    number = F.pmod(F.shiftrightunsigned(col(hash_col), 44), F.lit(ranges))
-    parts = []
-    for lo in range(0, ranges, per):
-        bits = np.zeros(min(per, ranges - lo) * (RANGE // 8), np.uint8)
-        for r, blob in second.where(F.col("range").between(lo, lo + per - 1)).toLocalIterator():
-            one = np.zeros(RANGE, np.uint8)
-            one[_unpack(bytes(blob))] = 1
-            bits[(r - lo) * (RANGE // 8) : (r - lo + 1) * (RANGE // 8)] = np.packbits(one, bitorder="little")
-        part = df if ranges <= per else df.where(number.between(lo, lo + per - 1))
-        parts.append(part.withColumn(flag_col, _tester(spark.sparkContext.broadcast(bits.tobytes()), ranges, lo)(col(hash_col))))
-    return reduce(DataFrame.unionAll, parts)
+    rows = df.count() if rows is None else rows
+    return df.withColumn(flag_col, bloom.tester(*bloom.build(df.select(hash_col), rows, 2, filter_bytes))(col(hash_col)))
 
 
-def exact_dedup(df: DataFrame, text: str = "text", order: str = "doc_id", broadcast_bytes: int = BROADCAST) -> DataFrame:
+def exact_dedup(df: DataFrame, text: str = "text", order: str = "doc_id", filter_bytes: int = bloom.FILTER_BYTES) -> DataFrame:
     """The rows left when of each text only the row with the least `order` stays; columns as they were.
 
     Texts are equal byte for byte, whatever their length; the hash only finds candidates. A null text equals
@@ -133,7 +33,7 @@ def exact_dedup(df: DataFrame, text: str = "text", order: str = "doc_id", broadc
     """
     h, flag, rank = fresh(df, "hash", "flag", "rank")
     hashed = df.where(col(text).isNotNull()).withColumn(h, F.xxhash64(col(text)))
-    marked = possibly_repeated(hashed, h, flag, broadcast_bytes)
+    marked = possibly_repeated(hashed, h, flag, df.count(), filter_bytes)
     rest = [col(c).asc_nulls_last() for c, kind in df.dtypes if c not in (text, order) and not any(x in kind for x in ("map<", "variant", "interval"))]
     one = Window.partitionBy(h, col(text)).orderBy(col(order).asc_nulls_last(), *rest)
     first = marked.where(col(flag)).withColumn(rank, F.row_number().over(one)).where(col(rank) == 1)
