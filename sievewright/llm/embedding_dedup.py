@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import col, stored, table
+from ._common import col, components, stored, table
 
 THRESHOLD = 0.5
-#: Vectors in a tile, about; cells hold about as many, and there are at most PIVOTS cells of one length.
-TILE, PIVOTS = 8192, 4096
-#: Rows of a tile that are multiplied at once.
-ROWS = 512
+#: Vectors in a tile, about, and tiles at least (if they have LEAST vectors or more), so that small tables occupy a cluster too.
+TILE, TILES, LEAST = 1 << 17, 8, 1024
+#: Vectors of a tile in one row, and rows of a tile that are multiplied at once.
+PIECE, ROWS = 1 << 14, 512
 #: What sums of products in double precision may be off by, generously.
 SLACK = 1e-6
 
@@ -28,147 +28,278 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, lost
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of x, rows of y, cosine) of all pairs at the threshold or above; x and y are unit vectors in double precision.
+def unit(rows: list, n: int) -> np.ndarray:
+    """Vectors of n numbers, at length 1; first by the greatest value, so that squares neither vanish nor overflow."""
+    x = np.array(rows, np.float64).reshape(len(rows), n)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    With x = s q + e and y = t r + f, x.y = s t q.r + e.(y - f) + x.f, so that it is off from s t q.r by at most
-    |e| (1 + |f|) + |f|. The products of int8 values are whole numbers below 2^24 (2^53 for long vectors) and so
-    exact in floating point.
+
+Tile = tuple[np.ndarray, np.ndarray, np.ndarray]  # int8 values, scale, norm of what was lost
+
+
+def near_pairs(x: Tile, y: Tile, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of x, rows of y, certain?) of all pairs that may be at the threshold or above; same: x is y, and each pair comes once.
+
+    With unit vectors s q + e and t r + f, their product is off from s t q.r by at most |e| (1 + |f|) + |f|. A pair
+    is certain if it is above the threshold by that much, left out if it is below by that much. The products of
+    int8 values are whole numbers below 2^24 (2^53 for long vectors), so exact in floating point, which is how
+    numpy multiplies fast.
     """
-    exact = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    q, s, e = quantise(x)
-    r, t, f = quantise(y)
-    r = r.astype(exact).T
-    for lo in range(0, len(x), ROWS):
-        product = q[lo : lo + ROWS].astype(exact) @ r
-        el, sl = e[lo : lo + ROWS], s[lo : lo + ROWS]
-        # s t q.r + |e| (1 + |f|) + |f| >= threshold, divided by s t > 0
-        least = (threshold - SLACK - el[:, None] - (1 + el)[:, None] * f) / (sl[:, None] * t)
-        i, j = np.nonzero(product >= np.nextafter(least.astype(exact), exact(-np.inf)))
-        for a in range(0, len(i), 1 << 17):
-            u, v = i[a : a + (1 << 17)] + lo, j[a : a + (1 << 17)]
-            d = np.einsum("ij,ij->i", x[u], y[v])
-            ok = d >= threshold
-            if ok.any():
-                yield u[ok], v[ok], d[ok]
-
-
-def _vectors(column: pa.Array) -> list[np.ndarray | None]:
-    return [None if v is None or None in v else np.array(v, np.float64) for v in column.to_pylist()]
-
-
-def _assign(pivots):
-    """(id, length, cell, angle, unit vector) of the vectors that have a direction."""
+    (q, s, e), (r, t, f) = x, y
+    exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    for lo in range(0, len(q), ROWS):
+        from_ = lo if same else 0
+        rr, tt, ff = r[from_:].astype(exact), t[from_:], f[from_:]
+        for at in range(0, len(rr), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            product = q[lo : lo + ROWS].astype(exact) @ rr[part].T
+            el, sl = e[lo : lo + ROWS, None], s[lo : lo + ROWS, None]
+            # the least bound of the block finds the few rows and columns worth a closer look
+            least = (threshold - SLACK - el - (1 + el) * ff[part].max(initial=0)) / (sl * tt[part].max(initial=1e-300))
+            i, j = np.nonzero(product >= np.nextafter(np.maximum(least, 0).astype(exact), exact(-np.inf)))
+            d = product[i, j].astype(np.float64) * sl[i, 0] * tt[part][j]
+            off = el[i, 0] * (1 + ff[part][j]) + ff[part][j] + SLACK
+            ok = d >= threshold - off
+            i, j, d, off = i[ok] + lo, j[ok] + from_ + at, d[ok], off[ok]
+            if same:
+                ok = i < j
+                i, j, d, off = i[ok], j[ok], d[ok], off[ok]
+            if len(i):
+                yield i, j, d >= threshold + off
+
+
+def _vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray, list]]:
+    """(length, places, vectors) by length of the vectors that have a direction."""
+    by: dict[int, list[int]] = {}
+    rows = column.to_pylist()
+    for k, v in enumerate(rows):
+        if v and None not in v:
+            a = np.array(v, np.float64)
+            if np.isfinite(a).all() and np.abs(a).max() > 0:
+                by.setdefault(len(v), []).append(k)
+    for n, at in by.items():
+        yield n, np.array(at), [rows[k] for k in at]
+
+
+def _assign(pivots) -> Callable:  # noqa: ANN001
+    """Rows (c, v): (c, n, cell, angle, q, scale, lost): the nearest pivot of the vector's length, the angle to it, and the quantised vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pivots.value
         for b in batches:
-            ids, rows = b.column(0).to_pylist(), _vectors(b.column(1))
-            by: dict[int, list[int]] = {}
-            for k, v in enumerate(rows):
-                if ids[k] is not None and v is not None and len(v) and np.isfinite(v).all() and np.abs(v).max() > 0:
-                    by.setdefault(len(v), []).append(k)
-            for n, at in by.items():
-                x = np.stack([rows[k] for k in at])
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+            ids = b.column(0).to_numpy()
+            for n, at, rows in _vectors(b.column(1)):
+                x = unit(rows, n)
                 if n in known:
                     d = x @ known[n].T
                     cell = d.argmax(1)
                     angle = np.arccos(np.clip(d[np.arange(len(x)), cell], -1, 1))
                 else:  # no pivot of this length: one cell that reaches everywhere
                     cell, angle = np.zeros(len(x), np.int64), np.full(len(x), np.pi)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in at], pa.int64()), pa.array(np.full(len(x), n, np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "n", "cell", "angle", "v"])
+                q, scale, lost = quantise(x)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(x), n, np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array([v.tobytes() for v in q], pa.binary()), pa.array(scale), pa.array(lost)], names=["c", "n", "cell", "angle", "q", "scale", "lost"])
 
     return run
 
 
-def _tile_pairs(threshold: float):
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (n, cell, part, c, q, scale, lost) in order of tile: a row for each PIECE vectors of a tile, or fewer."""
+
+    def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        n, cell, part = (t[k][0].as_py() for k in ("n", "cell", "part"))
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((n, pa.int32()), (cell, pa.int32()), (part, pa.int32()), (t["c"].to_numpy().tobytes(), pa.binary()), (b"".join(t["q"].to_pylist()), pa.binary()), (t["scale"].to_numpy().tobytes(), pa.binary()), (t["lost"].to_numpy().tobytes(), pa.binary()))], names=["n", "cell", "part", "c", "q", "scale", "lost"])
+
+    now, held, size = None, [], 0
+    for b in batches:
+        key = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True]) if b.num_rows else []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            for at in range(lo, hi, PIECE):
+                own, few = tuple(key[lo]), min(hi - at, PIECE)
+                if held and (now != own or size + few > PIECE):
+                    yield done(held)
+                    held, size = [], 0
+                now, size = own, size + few
+                held.append(b.slice(at, few))
+    if held:
+        yield done(held)
+
+
+def _partners(pivots, tiles, reach: float) -> Callable:  # noqa: ANN001
+    """Rows (tile,): rows (pair, n, cell, part, side) for each tile of that number and each later one that it may be near to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, all_tiles = pivots.value, tiles.value
+        total = len(all_tiles["n"])
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                n, cell, angle = all_tiles["n"][i], all_tiles["cell"][i], all_tiles["angle"][i]
+                j = np.arange(i, total)[all_tiles["n"][i:] == n]
+                if n in known:
+                    apart = np.arccos(np.clip(known[n][all_tiles["cell"][j]] @ known[n][cell], -1, 1))
+                    j = j[(j == i) | (apart <= angle + all_tiles["angle"][j] + reach)]
+                pair = i * total + j
+                both = np.r_[np.full(len(j), i), j[j != i]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[pair, pair[j != i]]), *(pa.array(all_tiles[k][both]) for k in ("n", "cell", "part")), pa.array(np.r_[np.zeros(len(j), np.int32), np.ones((j != i).sum(), np.int32)])], names=["pair", "n", "cell", "part", "side"])
+
+    return run
+
+
+def _tile_pairs(threshold: float) -> Callable:
+    """Rows (pair, side, c, q, scale, lost) in order of pair: (a, b, links, certain): the possible pairs of a and b, or counts of certain links of a.
+
+    Certain links are summed up within the task: links of each vector (b null), and for each linked vector one link (a, b)
+    to the least that it is linked with, so that a group of thousands of near copies costs as many rows, not their square.
+    """
+
     def group(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
-        x = np.frombuffer(b"".join(t["v"].to_pylist()), np.float64).reshape(len(ids), -1)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not len(b)  # a tile with itself
-        if alone:
-            b = a
-        for u, v, d in near_pairs(x[a], x[b], threshold):
-            p, q = ids[a[u]], ids[b[v]]
-            keep = p < q if alone else p != q
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[keep]), pa.array(np.maximum(p, q)[keep]), pa.array(d[keep])], names=["a", "b", "similarity"])
+        sides, tiles = t["side"].to_numpy(), []
+        for side in (0, 1):
+            at = np.flatnonzero(sides == side)
+            if len(at):
+                ids, scale, lost = (np.frombuffer(b"".join(t[k][int(i)].as_py() for i in at), d) for k, d in (("c", np.int64), ("scale", np.float64), ("lost", np.float64)))
+                tiles.append((ids, (np.frombuffer(b"".join(t["q"][int(i)].as_py() for i in at), np.int8).reshape(len(ids), -1), scale, lost)))
+        same, base = len(tiles) == 1, len(tiles[0][0])
+        (a_ids, x), (b_ids, y) = tiles[0], tiles[-1]
+        ids = a_ids if same else np.concatenate([a_ids, b_ids])
+        count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, j, sure in near_pairs(x, y, threshold, same):
+            j = j if same else j + base
+            u, v = i[sure], j[sure]
+            np.add.at(count, u, 1)
+            np.add.at(count, v, 1)
+            root = _linked(root, u, v)
+            u, v = ids[i[~sure]], ids[j[~sure]]
+            if len(u):
+                yield _rows(u, v, np.zeros(len(u), np.int64), False)
+        some = np.flatnonzero(count)
+        if len(some):
+            yield _rows(ids[some], ids[root[some]], count[some], True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            key = b.column(0).to_numpy()
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if b.num_rows else []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if held and now != key[lo]:
+            for k, key in enumerate(b.column(0).to_pylist()):
+                if held and now != key:
                     yield from group(held)
                     held = []
-                now = key[lo]
-                held.append(b.slice(lo, hi - lo))
+                now = key
+                held.append(b.slice(k, 1))
         if held:
             yield from group(held)
 
     return run
 
 
-def embedding_pairs(df: DataFrame, threshold: float = THRESHOLD, vector: str = "embedding", order: str = "vec_id") -> DataFrame:
-    """(a, b, similarity): pairs of ids, a < b, whose vectors have a cosine of threshold (above 0) or more, rounded to 6 places.
+def _rows(a: np.ndarray, b: np.ndarray, links: np.ndarray, certain: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(links), pa.array([certain] * len(a), pa.bool_())], names=["a", "b", "links", "certain"])
+
+
+def _linked(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """root: some place that each place is linked with; the same with the links u, v."""
+    while len(u):
+        low = np.minimum(root[u], root[v])
+        was = root.copy()
+        np.minimum.at(root, was[u], low)
+        np.minimum.at(root, was[v], low)
+        root = root[root]
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
+def _products(threshold: float) -> Callable:
+    """Rows (a, b, v of a, v of b): those whose product in double precision is at the threshold or above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            ok = np.zeros(len(x), bool)
+            lengths = np.array([len(v) for v in x])
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                ok[at] = np.einsum("ij,ij->i", unit([x[k] for k in at], n), unit([y[k] for k in at], n)) >= threshold
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+    return run
+
+
+def embedding_groups(df: DataFrame, threshold: float = THRESHOLD, vector: str = "embedding", order: str = "vec_id") -> DataFrame:
+    """(vec_id, class_id, group_id, links): a row for each id and each vector that it has.
+
+    class_id: the least id with an equal vector. links: how many other vectors (equal ones count once) have a cosine
+    of threshold (above 0) or more with this one. group_id: the least id that is linked with this one, directly or
+    over others; its own class's if there is none. No link is lost: what a vector is near to is counted over all.
 
-    Vectors that are null or empty, hold a null or no finite number, or are zero are similar to nothing; so are
-    vectors of different lengths. Rows with equal ids make no pair with each other; of several pairs with equal
-    ids the most similar counts. Rows without an id are left out. An empty table gives an empty one.
+    Vectors that are null or empty, hold a null or no finite number, or are zero are near nothing; so are vectors of
+    different lengths. Equal rows are one row, rows without an id are left out. Ids may be of any type that sorts.
+    An empty table gives an empty one. Other columns are not read.
 
-    Vectors fall to the nearest of some pivots; cells of many vectors are split at random into tiles. Pairs of
-    tiles whose directions (the pivots', give or take the widest angle within) are too far apart for the
-    threshold are left out; of the others each becomes a task's product.
+    Equal vectors are one, under a 64-bit hash. The distinct ones fall to the nearest of some pivots (drawn by a
+    hash, as many as there are tiles); cells of many vectors are split at random into tiles of int8 values. Pairs of
+    tiles whose directions (the pivots', give or take the widest angle within) are too far apart for the threshold
+    are left out; of the others each becomes a product. Pairs that the error bound leaves open are joined back to the
+    full vectors.
     """
     spark = df.sparkSession
-    rows = df.select(col(order).cast("long").alias("id"), col(vector).alias("v"))
-    count = rows.count()
-    pivots: dict[int, list] = {}
-    for r in rows.where("id is not null and v is not null").orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-count // TILE))).collect():
-        v = np.array([np.nan if x is None else x for x in r.v], np.float64)
-        if len(v) and np.isfinite(v).all() and np.abs(v).max() > 0:
-            v /= np.abs(v).max()
-            pivots.setdefault(len(v), []).append(v / np.linalg.norm(v))
-    known = {n: np.stack(v) for n, v in pivots.items()}
-    placed = stored(rows.mapInArrow(_assign(spark.sparkContext.broadcast(known)), "id long, n int, cell int, angle double, v binary"), "vectors")
-    # tiles: their number and reach
-    cells = {(r.n, r.cell): -(-r["count"] // TILE) for r in placed.groupBy("n", "cell").count().collect()}
-    parts = spark.createDataFrame([(*k, p) for k, p in cells.items()], "n int, cell int, parts int")
-    tiled = placed.join(parts, ["n", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tiles = sorted((r.n, r.cell, r.part, r.angle) for r in tiled.groupBy("n", "cell", "part").agg(F.max("angle").alias("angle")).collect())
-    reach = np.arccos(min(1.0, threshold)) + 1e-6
-    links = []
-    for i, (n, cell, part, angle) in enumerate(tiles):
-        for j in range(i, len(tiles)):
-            m, other, part2, angle2 = tiles[j]
-            if m != n:
-                break
-            apart = np.arccos(np.clip(known[n][cell] @ known[n][other], -1, 1)) if n in known else 0.0
-            if i == j or apart <= angle + angle2 + reach:
-                pair = len(links) and links[-1][0] + 1
-                links.append((pair, n, cell, part, 0))
-                if i != j:
-                    links.append((pair, m, other, part2, 1))
-    pairs = spark.createDataFrame(links, "pair int, n int, cell int, part int, side int")
-    tasks = max(1, min(links[-1][0] + 1, 20_000) if links else 1)
-    sent = tiled.join(pairs, ["n", "cell", "part"]).select("pair", "side", "id", "v").repartition(tasks, "pair").sortWithinPartitions("pair")
-    found = sent.mapInArrow(_tile_pairs(threshold), "a long, b long, similarity double")
-    return found.groupBy("a", "b").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+    sc = spark.sparkContext
+    rows = df.where(col(order).isNotNull()).select(col(order).alias("id"), col(vector).alias("v"))
+    members = stored(rows.select("id", F.xxhash64("v").alias("c"), F.when(F.size("v") > 0, F.col("v")).alias("v")).groupBy("id", "c").agg(F.first("v").alias("v")), "members")
+    classes = stored(members.groupBy("c").agg(F.min("id").alias("least"), F.first("v", ignorenulls=True).alias("v")), "classes")
+    count = classes.count()
+    tiles_wanted = max(-(-count // TILE), min(TILES, count // LEAST), 1)
+    drawn: dict[int, list] = {}
+    for r in classes.where("v is not null").orderBy(F.xxhash64("c"), "c").limit(tiles_wanted).select("v").toArrow().to_batches():
+        for n, _, some in _vectors(r.column(0)):
+            drawn.setdefault(n, []).extend(some)
+    pivots = sc.broadcast({n: unit(some, n) for n, some in drawn.items()})
+    kind = "c long, n int, cell int, angle double, q binary, scale double, lost double"
+    placed = stored(classes.where("v is not null").select("c", "v").mapInArrow(_assign(pivots), kind), "placed")
+    size = max(1, -(-count // tiles_wanted))
+    cells = placed.groupBy("n", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    tiled = placed.join(F.broadcast(cells), ["n", "cell"]).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    known = tiled.groupBy("n", "cell", "part").agg(F.max("angle").alias("angle")).orderBy("n", "cell", "part").toArrow()
+    tiles = sc.broadcast({k: known[k].to_numpy() for k in known.column_names})
+    number = spark.range(0, known.num_rows, 1, min(max(1, known.num_rows), 2000))
+    pairs = number.mapInArrow(_partners(pivots, tiles, float(np.arccos(min(1.0, threshold))) + 1e-6), "pair long, n int, cell int, part int, side int")
+    key = ["n", "cell", "part"]
+    pieces = stored(tiled.select(*key, "c", "q", "scale", "lost").repartition(max(1, min(known.num_rows, 2000)), *key).sortWithinPartitions(*key).mapInArrow(_pieces, "n int, cell int, part int, c binary, q binary, scale binary, lost binary"), "tiles")
+    tasks = max(1, min(known.num_rows * (known.num_rows + 1) // 2, 20_000))
+    sent = pieces.join(pairs, key).select("pair", "side", "c", "q", "scale", "lost").repartition(tasks, "pair").sortWithinPartitions("pair")
+    found = stored(sent.mapInArrow(_tile_pairs(threshold), "a long, b long, links long, certain boolean"), "links")
+    open_ = found.where("not certain").select("a", "b")
+    full = lambda s: classes.select(F.col("c").alias(s), F.col("v").alias(f"{s}v"))
+    checked = stored(open_.join(full("a"), "a").join(full("b"), "b").select("a", "b", "av", "bv").mapInArrow(_products(threshold), "a long, b long"), "checked")
+    sure = found.where("certain")
+    one = F.lit(1).cast("long")
+    links = sure.select(F.col("a").alias("c"), "links").unionAll(checked.select("a", one)).unionAll(checked.select("b", one)).groupBy("c").agg(F.sum("links").alias("links"))
+    groups = components(stored(sure.select("a", "b").unionAll(checked), "edges"))
+    placed = classes.select("c", "least").join(groups, F.col("c") == F.col("node"), "left").join(links, "c", "left").select("c", "least", F.coalesce("root", "c").alias("g"), F.coalesce("links", F.lit(0)).alias("links"))
+    placed = stored(placed, "places")
+    roots = placed.groupBy("g").agg(F.min("least").alias("group_id"))
+    known_rows = members.where("v is not null").select("id", "c").join(placed.join(roots, "g"), "c").select("id", F.col("least").alias("class_id"), "group_id", "links")
+    alone = members.where("v is null").select("id", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(0).cast("long").alias("links"))
+    return known_rows.unionAll(alone).withColumnRenamed("id", "vec_id")
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_pairs(table(spark, sf_dir, "embeddings"))
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {"op4_embedding_near_dedup": op4_embedding_near_dedup}
 SQL = {
     "op4_embedding_near_dedup": f"""
-        WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL)
-        SELECT x.vec_id AS a, y.vec_id AS b, round(max(list_cosine_similarity(x.v, y.v)), 6) AS similarity
-        FROM e x JOIN e y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= {THRESHOLD} GROUP BY 1, 2""",
+        WITH RECURSIVE e AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL),
+        d AS (SELECT v, min(vec_id) AS c FROM e GROUP BY v),
+        p AS (SELECT x.c AS a, y.c AS b FROM d x JOIN d y ON x.c <> y.c WHERE list_cosine_similarity(x.v, y.v) >= {THRESHOLD}),
+        r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+        g AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+        n AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+        SELECT e.vec_id, d.c AS class_id, least(d.c, coalesce(g.b, d.c)) AS group_id, coalesce(n.links, 0) AS links
+        FROM e JOIN d USING (v) LEFT JOIN g ON g.a = d.c LEFT JOIN n ON n.a = d.c""",
 }
