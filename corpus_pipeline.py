@@ -6,11 +6,10 @@ documents; the last adds the tokens. Every stage's output is written and read ag
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievewright.llm._common import shared_dir
+from sievewright.llm._common import fresh, mark, place, sweep
 from sievewright.llm.bpe import encode_column
 from sievewright.llm.exact_dedup import exact_dedup
 from sievewright.llm.langid import known_language
@@ -39,8 +38,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their text, the number of ids, and whether they decode to the text's bytes."""
-    return encode_column(docs).select("*", "tokens.*").drop("tokens")
+    """The documents with the ids of their text, the number of ids, and whether they decode to the text's bytes.
+
+    The new columns are called ids, n_tokens and exact, with underscores after them where documents has such a column.
+    """
+    out, *names = fresh(docs, "tokens", "ids", "n_tokens", "exact")
+    return encode_column(docs, out=out).withColumns({new: F.col(f"{out}.{name}") for new, name in zip(names, ("ids", "n_tokens", "exact"))}).drop(out)
 
 
 STAGES = [
@@ -55,9 +58,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over the table of documents. What a stage has written and its successor has read is removed.
+
+    An empty table gives an empty one. Null and empty texts go in the first stage; of equal texts, and of near
+    copies, the least doc_id stays, a null one only if there is no other; rows equal in all are one. Documents may come
+    several times, where a source is short of its budget. Texts count whole, whatever their length; further
+    columns of documents come along.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        made = stage(spark, docs, sf_dir)
+        path = place(spark, f"pipeline-{name}")
+        made.write.parquet(path)
         docs = spark.read.parquet(path)
+        sweep(spark, before, mark() - 1)
     return STAGES[-1][1](spark, docs, sf_dir)

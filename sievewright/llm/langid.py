@@ -192,14 +192,15 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", order: str =
     return df.withColumn(out, scored(col(text)))
 
 
-def known_language(df: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows whose text is neither null, empty nor taken for noise; columns as they were.
+def known_language(df: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_rows: int = SAMPLE_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """The rows whose text is neither null, empty nor taken for noise, and in a language of `keep` if given; columns as they were.
 
     A text in a language without labels has no class of its own: it stays, under the name of a known language,
     unless the network takes it for the made-up noise.
     """
     (out,) = fresh(df, "identified")
-    return identify(df, text, lang, order, out, sample_rows).where(~F.col(out + ".rejected")).drop(out)
+    found = identify(df, text, lang, order, out, sample_rows).where(~F.col(out + ".rejected"))
+    return (found if keep is None else found.where(F.col(out + ".language").isin(keep))).drop(out)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

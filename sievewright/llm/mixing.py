@@ -75,14 +75,16 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, total: int | Non
     return epochs.select("doc_id", "source", "epoch", F.col("n").alias("n_tokens"), F.least("n", left).alias("tokens_taken"))
 
 
-def mix_rows(df: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, text: str = "text", source: str = "source", order: str = "doc_id", seed: str = SEED) -> DataFrame:
+def mix_rows(df: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, text: str = "text", source: str = "source", order: str = "doc_id", seed: str = SEED, tokens: Column | None = None) -> DataFrame:
     """The rows of the mixture with the columns they came with, one copy for each epoch that takes them.
 
     As mix(), but the row that crosses a budget comes whole, and rows that tie with it (equal `order` and size)
     come with it. The cut of each source is one key, so that only keys and sizes shuffle; the texts are read
-    again and each row's copies follow from its own key.
+    again and each row's copies follow from its own key. `tokens` counts a row's tokens, words unless given; for
+    languages without spaces give another count. A row for each source goes to the driver's broadcast; sources
+    beyond SMALL_ROWS are joined by a shuffle.
     """
-    n = word_tokens(col(text))
+    n = word_tokens(col(text)) if tokens is None else tokens.cast("long")
     light = stored(_light(df, source, order, n, seed), "mix")
     placed = _placed(light, weights, total).where("size > 0 and budget > 0")
     s, size_, copies, whole, last, epoch = fresh(df, "source_", "size_", "copies", "whole", "last", "epoch")
