@@ -43,12 +43,42 @@ def reasoning(c: Column) -> Column:
     )
 
 
+def read_criteria(text: str | None, names: list[str]) -> dict[str, float] | None:
+    """Scores from 1 to 5 by name: of the JSON object in a text, else of phrases such as `name: 4`. None if there is none.
+
+    JSON that is no object gives none; in an object, strings of numbers count too, what else is no number is left out.
+    """
+    if text is None:
+        return None
+    inside = text.strip()
+    if fence := re.search(r"(?s)```(?:json)?(.*?)```", inside):
+        inside = fence[1].strip()
+    lo, hi = inside.find("{"), inside.rfind("}")
+    if -1 < lo < hi:
+        inside = inside[lo : hi + 1]
+    found: dict[str, object] = {}
+    try:
+        data = json.loads(inside)
+        if isinstance(data, dict):
+            found = {n: data.get(n) for n in names}
+    except ValueError:
+        for n in names:
+            if hit := re.search(rf"(?i){re.escape(n)}\s*[:=]\s*(\d+(?:\.\d+)?)", text):
+                found[n] = hit[1]
+    out = {}
+    for n, v in found.items():
+        try:
+            if v is not None and 1 <= float(v) <= 5:
+                out[n] = float(v)
+        except (TypeError, ValueError):
+            continue
+    return out or None
+
+
 def criteria_scores(c: Column, names: list[str]) -> Column:
-    """map of name -> score in 1..5 from lines such as `name: 4`; null if there is none."""
-    found = [F.regexp_extract(c, rf"(?i){re.escape(n)}[\"']?\s*[:=]\s*(\d+(?:\.\d+)?)", 1) for n in names]
-    entries = F.array(*[F.struct(F.lit(n).alias("key"), F.when(x != "", x.cast("double")).alias("value")) for n, x in zip(names, found)])
-    kept = F.filter(entries, lambda e: e["value"].between(1, 5))
-    return F.when(F.size(kept) > 0, F.map_from_entries(kept))
+    """map of name -> score, as read_criteria() gives it; Python's JSON, which no built-in function has."""
+    read = F.pandas_udf(lambda s: s.map(lambda t: read_criteria(t, names)), "map<string,double>")
+    return read(c)
 
 
 def weighted_score(scores: Column, weights: dict[str, float]) -> Column:
@@ -57,6 +87,21 @@ def weighted_score(scores: Column, weights: dict[str, float]) -> Column:
     return F.round(sum((F.coalesce(scores[k], F.lit(0.0)) * F.lit(w / total) for k, w in weights.items()), F.lit(0.0)), 4)
 
 
+def _is_json(text: str | None) -> bool:
+    try:
+        json.loads(text or "")
+        return True
+    except ValueError:
+        return False
+
+
+@F.pandas_udf(BooleanType())
+def is_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Is the whole text JSON? By Python's rules."""
+    for s in batches:
+        yield s.map(_is_json).astype(bool)
+
+
 def _holds_json(text: str | None) -> bool:
     if not text:
         return False
@@ -79,11 +124,15 @@ def holds_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(_holds_json).astype(bool)
 
 
-def fenced(c: Column) -> Column:
-    """The inside of a code fence, else from the first to the last brace or bracket, else the text."""
-    fence = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    brace = F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1)
-    return strip(F.when(fence != "", fence).when(brace != "", brace).otherwise(c))
+def json_part(text: str) -> str:
+    """The inside of a code fence; else a text that begins as JSON does; else from the first brace to the last; else the text."""
+    text = text.strip()
+    if fence := re.search(r"(?s)```(?:json)?(.*?)```", text):
+        return fence[1].strip()
+    if text[:1] in ("{", "["):
+        return text
+    brace = re.search(r"(?s)\{.*\}", text)
+    return brace[0] if brace else text
 
 
 def variants(text: str, n: int) -> list[str]:

@@ -33,6 +33,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
 
 
+def lines(c: Column) -> Column:
+    """Lines, however they end; what follows the last end is a line too."""
+    return F.split(c, r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]")
+
+
 def estimated_tokens(c: Column) -> Column:
     """A quarter of the stripped length, 1 at least; 0 for blank."""
     s = strip(F.coalesce(c, F.lit("")))
