@@ -21,6 +21,16 @@ def numbered(df: DataFrame, order: list[str], out: str = "index") -> DataFrame:
     return ranged.join(sizes, "sievewright_part").withColumn(out, F.col("sievewright_before") + F.col("sievewright_at")).drop("sievewright_part", "sievewright_at", "sievewright_n", "sievewright_before")
 
 
+def running_sum(df: DataFrame, order: list[str], weight: str, out: str = "before") -> DataFrame:
+    """The sum of the weights of the rows before each row in the given order; only a range of rows is sorted by one task."""
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("sievewright_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("sievewright_part").agg(F.sum(weight).alias("sievewright_n"))
+    before = F.sum("sievewright_n").over(Window.orderBy("sievewright_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("sievewright_part", F.coalesce(before, F.lit(0)).alias("sievewright_before"))
+    own = F.coalesce(F.sum(weight).over(Window.partitionBy("sievewright_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(sizes, "sievewright_part").withColumn(out, F.col("sievewright_before") + own).drop("sievewright_part", "sievewright_n", "sievewright_before")
+
+
 def round_robin(index: Column, shards: int) -> Column:
     """The shard of the row with this number."""
     return F.pmod(index, F.lit(shards)).cast("int")
@@ -41,20 +51,28 @@ def stratified(df: DataFrame, key: str, score: str, k: int, seed: int = 42) -> D
 
     A quarter has max(1, n div 4) rows, the last takes the rest. Within a stratum the least hashes win.
     """
-    n = F.count(score).over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.col(score).asc_nulls_last(), key)) - 1
-    stratum = F.when(F.col(score).isNull(), 4).otherwise(F.least(F.lit(3), F.floor(place / F.greatest(F.lit(1), F.floor(n / 4))))).cast("int")
+    n = df.agg(F.count(score)).first()[0]
+    ranked = numbered(df.withColumn("sievewright_none", F.col(score).isNull()), ["sievewright_none", score, key], "sievewright_place").drop("sievewright_none")
+    stratum = F.when(F.col(score).isNull(), 4).otherwise(F.least(F.lit(3), F.floor(F.col("sievewright_place") / max(1, n // 4)))).cast("int")
     rank = F.row_number().over(Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
-    out = df.withColumn("stratum", stratum).withColumn("sievewright_rank", rank)
-    most = F.when(F.col("stratum") == 0, k // 5 + k % 5).otherwise(k // 5)
-    return out.where(F.col("sievewright_rank") <= most).drop("sievewright_rank")
+    out = ranked.withColumn("stratum", stratum).withColumn("sievewright_rank", rank).where(F.col("sievewright_rank") <= k // 5 + k % 5)  # a constant, so that tasks drop the rest before they shuffle
+    return out.where((F.col("stratum") == 0) | (F.col("sievewright_rank") <= k // 5)).drop("sievewright_rank", "sievewright_place")
+
+
+def sample_rows(df: DataFrame, order: list[str], k: int, seed: int = 42) -> DataFrame:
+    """k rows, those whose numbers in the given order Python's generator draws; all if there are k or fewer."""
+    if (n := df.count()) <= k:
+        return df
+    drawn = df.sparkSession.createDataFrame([(i,) for i in seeded_indices(n, k, seed)], "sievewright_index long")
+    return numbered(df, order, "sievewright_index").join(F.broadcast(drawn), "sievewright_index", "left_semi").drop("sievewright_index")
 
 
 def striped(df: DataFrame, group: str, order: str) -> DataFrame:
-    """A column `turn`: groups take turns, in the order in which they are met first."""
-    own = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    first = F.min(order).over(Window.partitionBy(group))
-    return df.withColumn("sievewright_own", own).withColumn("sievewright_first", first).withColumn("turn", F.row_number().over(Window.orderBy("sievewright_own", "sievewright_first")) - 1).drop("sievewright_own", "sievewright_first")
+    """A column `turn`: groups take turns, in the order in which they are met first. order: distinct values."""
+    placed = numbered(df, [group, order], "sievewright_place")
+    firsts = placed.groupBy(group).agg(F.min("sievewright_place").alias("sievewright_base"), F.min(order).alias("sievewright_first"))
+    own = placed.join(firsts, placed[group].eqNullSafe(firsts[group])).select(placed["*"], "sievewright_first", (F.col("sievewright_place") - F.col("sievewright_base")).alias("sievewright_own"))
+    return numbered(own, ["sievewright_own", "sievewright_first"], "turn").drop("sievewright_own", "sievewright_first", "sievewright_place")
 
 
 def endpoint(prefix: Column, n: int, replicas: int = 1, index: Column | None = None) -> Column:

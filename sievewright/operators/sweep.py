@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import numbered
+
 DIMENSIONS = ("completeness", "length", "llm", "similarity", "dedup")
 WEIGHTS = {"completeness": 0.10, "length": 0.10, "llm": 0.50, "similarity": 0.15, "dedup": 0.15}
 
@@ -25,64 +27,81 @@ class Config:
     name: str
     on: frozenset = field(default_factory=lambda: frozenset(DIMENSIONS))
     llm: float = 3.5
-    similarity: tuple[float | None, float | None] = (0.3, 0.95)
+    similarity: tuple[float, float] = (0.3, 0.95)
     readiness: float | None = None
+    share: float | None = None
+
 
-    def predicate(self) -> Column:
-        """Over columns named by dimension: a score (similarity, llm) or a flag."""
-        p = F.lit(True)
-        for d in DIMENSIONS:
-            if d in self.on:
-                if d == "llm":
-                    p &= F.col("llm") >= self.llm
-                elif d == "similarity":
-                    low, high = self.similarity
-                    p &= (F.col(d) >= low if low is not None else F.lit(True)) & (F.col(d) <= high if high is not None else F.lit(True))
-                else:
-                    p &= F.col(d) >= 1
-        if self.readiness is not None:
-            p &= F.col("readiness") >= self.readiness
-        return F.coalesce(p, F.lit(False))
+def _called(d: str) -> str:
+    return "llm_score" if d == "llm" else d
 
 
 def configs() -> list[Config]:
-    """Leave-one-out, pairs and single dimensions, a grid of similarity limits, readiness thresholds, baselines; names once."""
+    """53: none, all and all but one; pairs and single dimensions; limits of similarity and thresholds of readiness with all dimensions on; five others."""
     every, none = frozenset(DIMENSIONS), frozenset()
-    out = [Config("all_off", none), Config("full"), *(Config(f"no_{d}", every - {d}) for d in DIMENSIONS)]
-    out += [Config(f"pair_{a}_{b}", frozenset({a, b})) for a, b in combinations(DIMENSIONS, 2)] + [Config(f"solo_{d}", frozenset({d})) for d in DIMENSIONS]
-    sim = frozenset({"similarity"})
-    out += [Config(f"sim_{lo}_{hi}", sim, similarity=(lo, hi)) for lo in (0.1, 0.2, 0.3, 0.4) for hi in (0.8, 0.85, 0.9, 0.95)]
-    out += [Config("sim_min_only", sim, similarity=(0.3, None)), Config("sim_max_only", sim, similarity=(None, 0.95))]
-    out += [Config(f"ready_{t}", none, readiness=float(t)) for t in range(20, 91, 10)]
-    out += [Config("base_none", none), Config("base_length", frozenset({"length"})), Config("base_dedup", frozenset({"dedup"})), Config("base_llm_4", frozenset({"llm"}), llm=4.0), Config("base_full_4", every, llm=4.0)]
-    return list({c.name: c for c in reversed(out)}.values())[::-1]
+    out = [Config("exp1_all_off", none), Config("exp1_full"), *(Config(f"exp1_no_{_called(d)}", every - {d}) for d in DIMENSIONS)]
+    out += [Config(f"exp2_{_called(a)}_{_called(b)}", frozenset({a, b})) for a, b in combinations(DIMENSIONS, 2)] + [Config(f"exp2_only_{_called(d)}", frozenset({d})) for d in DIMENSIONS]
+    out += [Config(f"exp3_sim_{lo}_{hi}", similarity=(lo / 100, hi / 100)) for lo in (10, 20, 30, 40) for hi in (80, 85, 90, 95)]
+    out += [Config("exp3_sim_no_lower", similarity=(0.0, 0.95)), Config("exp3_sim_no_upper", similarity=(0.3, 1.0))]
+    out += [Config(f"exp4_threshold_{t}", readiness=float(t)) for t in range(20, 91, 10)]
+    out += [Config("exp6_alpagasus", frozenset({"llm"}), llm=4.0), Config("exp6_random_50pct", none, share=0.5), Config("exp6_length_only", frozenset({"length"})), Config("exp6_ifd_style", frozenset({"completeness", "length", "dedup"})), Config("exp6_best", similarity=(0.3, 0.9), readiness=50.0)]
+    return out
+
+
+def _each(df: DataFrame, cfgs: list[Config]) -> tuple[DataFrame, Column]:
+    """The frame with every row once for each configuration, as struct `sievewright_c`, and whether the configuration keeps it."""
+    use = {d: f"use_{d}" for d in DIMENSIONS}
+    kind = "name string, " + ", ".join(f"{u} boolean" for u in use.values()) + ", least_llm double, low double, high double, ready double, share double"
+    rows = [(c.name, *[d in c.on for d in DIMENSIONS], c.llm, *c.similarity, -1.0 if c.readiness is None else c.readiness, 1.0 if c.share is None else c.share) for c in cfgs]
+    table = df.sparkSession.createDataFrame(rows, kind)
+    out, c = df.join(F.broadcast(table.select(F.struct("*").alias("sievewright_c"))), F.lit(True)), F.col("sievewright_c")  # as many rows as there are configurations
+    ok = {"llm": F.col("llm") >= c["least_llm"], "similarity": F.col("similarity").between(c["low"], c["high"])}
+    keeps = F.coalesce("readiness", F.lit(0.0)) >= c["ready"]
+    for d in DIMENSIONS:
+        keeps &= ~c[use[d]] | F.coalesce(ok.get(d, F.col(d) >= 1), F.lit(False))
+    return out, keeps
 
 
 def retention(df: DataFrame, cfgs: list[Config] | None = None) -> DataFrame:
-    """(config, kept, total, retention_rate) of all configurations in one aggregation."""
+    """(config, kept, total, retention_rate) of all configurations in one aggregation; a share keeps so many rows, rounded down."""
     cfgs = cfgs or configs()
-    one = df.agg(F.count("*").alias("total"), *[F.count_if(c.predicate()).alias(f"c{k}") for k, c in enumerate(cfgs)])
-    rows = F.explode(F.array(*[F.struct(F.lit(c.name).alias("config"), F.col(f"c{k}").alias("kept")) for k, c in enumerate(cfgs)]))
-    return one.select("total", rows.alias("r")).select("r.config", "r.kept", "total", F.round(F.when(F.col("total") > 0, F.col("r.kept") / F.col("total")).otherwise(0.0), 4).alias("retention_rate"))
+    rows, keeps = _each(df, cfgs)
+    c = F.col("sievewright_c")
+    found = rows.groupBy(c["name"].alias("config"), c["share"].alias("share")).agg(F.count_if(keeps).alias("k"), F.count("*").alias("n"))
+    names = df.sparkSession.createDataFrame([(c.name,) for c in cfgs], "config string")  # an empty frame has them too
+    out = names.join(F.broadcast(found), "config", "left").select("config", F.coalesce(F.floor(F.col("k") * F.col("share")), F.lit(0)).cast("long").alias("kept"), F.coalesce("n", F.lit(0)).alias("total"))
+    return out.withColumn("retention_rate", F.round(F.when(F.col("total") > 0, F.col("kept") / F.col("total")).otherwise(0.0), 4))
+
 
+def subsets(df: DataFrame, cfgs: list[Config] | None = None, key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """Each row once for every configuration that keeps it, with its name; for a write partitioned by config.
 
-def subsets(df: DataFrame, cfgs: list[Config] | None = None) -> DataFrame:
-    """Each row once for every configuration that keeps it, with its name; for a write partitioned by config."""
+    A share takes the rows with the least hashes of seed and key, which is distinct.
+    """
     cfgs = cfgs or configs()
-    names = F.filter(F.array(*[F.when(c.predicate(), F.lit(c.name)) for c in cfgs]), lambda x: x.isNotNull())
-    return df.withColumn("config", F.explode(names))
+    rows, keeps = _each(df, [c for c in cfgs if c.share is None])
+    out = rows.where(keeps).withColumn("config", F.col("sievewright_c.name")).drop("sievewright_c")
+    for c in cfgs:
+        if c.share is not None:
+            own, keeps = _each(df, [c])
+            some = own.where(keeps).drop("sievewright_c")
+            n = int(some.count() * c.share)
+            order = some.select(key, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("sievewright_h"))
+            drawn = numbered(order, ["sievewright_h", key], "sievewright_place").where(F.col("sievewright_place") < n).select(key)
+            out = out.unionByName(some.join(drawn, key, "left_semi").withColumn("config", F.lit(c.name)))
+    return out
 
 
 def contributions(kept: DataFrame, value: str = "retention_rate") -> DataFrame:
     """(dimension, contribution): the full configuration's value less that without the dimension."""
-    full = kept.where("config = 'full'").select(F.col(value).alias("f"))
-    out = kept.where(F.col("config").isin([f"no_{d}" for d in DIMENSIONS])).crossJoin(full)
-    return out.select(F.expr("substring(config, 4)").alias("dimension"), (F.col("f") - F.col(value)).alias("contribution"))
+    full = kept.where("config = 'exp1_full'").select(F.col(value).alias("f"))
+    out = kept.where(F.col("config").isin([f"exp1_no_{_called(d)}" for d in DIMENSIONS])).join(full, F.lit(True))
+    return out.select(F.expr("substring(config, 9)").alias("dimension"), (F.col("f") - F.col(value)).alias("contribution"))
 
 
 def interactions(kept: DataFrame, value: str = "retention_rate") -> DataFrame:
     """(a, b, interaction): a pair's value less the two alone, plus that without filters."""
-    names = DIMENSIONS
-    wide = kept.groupBy().pivot("config", [f"pair_{a}_{b}" for a, b in combinations(names, 2)] + [f"solo_{d}" for d in names] + ["all_off"]).agg(F.first(value))
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(f"pair_{a}_{b}") - (F.col(f"solo_{a}") + F.col(f"solo_{b}") - F.col("all_off"))).alias("interaction")) for a, b in combinations(names, 2)])
+    names = [_called(d) for d in DIMENSIONS]
+    wide = kept.groupBy().pivot("config", [f"exp2_{a}_{b}" for a, b in combinations(names, 2)] + [f"exp2_only_{d}" for d in names] + ["exp1_all_off"]).agg(F.first(value))
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(f"exp2_{a}_{b}") - (F.col(f"exp2_only_{a}") + F.col(f"exp2_only_{b}") - F.col("exp1_all_off"))).alias("interaction")) for a, b in combinations(names, 2)])
     return wide.select(F.explode(rows).alias("r")).select("r.*")
