@@ -1 +1,3 @@
-"""Spark-native curation and analytics of language-model training data."""
+"""A PySpark engine for curating and analysing language-model training data."""
+
+__version__ = "0.2.0"

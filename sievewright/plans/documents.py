@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import text as T
+from ..operators import assessment as A
 from ..operators import dedup as D
 from ..operators import evaluators as E
+from ..operators import results as N
 from ..operators import sampling as S
 from ..operators import strategies as G
 from ..operators import sweep as W
@@ -184,14 +186,14 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 SCORED_SQL = f"""
-    k AS (SELECT md5(text) AS h, min(doc_id) AS keeper FROM documents GROUP BY 1),
+    k AS MATERIALIZED (SELECT md5(text) AS h, min(doc_id) AS keeper FROM documents GROUP BY 1),
     x AS (
         SELECT d.doc_id, d.source, CASE WHEN {strip_sql('d.text')} <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS completeness,
             CASE WHEN len({words_sql('d.text')}) BETWEEN 10 AND 2048 THEN 1.0 ELSE 0.0 END::DOUBLE AS length,
             (3.0 + l.quality - l.toxic)::DOUBLE AS llm, round((n_chars % 100)::DOUBLE / 100, 2) AS similarity,
             CASE WHEN k.keeper = d.doc_id THEN 1.0 ELSE 0.0 END::DOUBLE AS dedup
         FROM documents d JOIN k ON md5(d.text) = k.h LEFT JOIN labels l ON l.doc_id = d.doc_id),
-    scored AS (
+    scored AS MATERIALIZED (
         SELECT *, round((completeness * 0.1::DOUBLE + length * 0.1::DOUBLE + coalesce((llm - 1) / 4, 0) * 0.5::DOUBLE + similarity * 0.15::DOUBLE + dedup * 0.15::DOUBLE)
             / (0.1::DOUBLE + 0.1::DOUBLE + CASE WHEN llm IS NULL THEN 0.0 ELSE 0.5 END::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE) * 100, 2) AS readiness FROM x)"""
 
@@ -216,22 +218,66 @@ def interactions(spark, d):  # noqa: ANN001, ANN201
     return W.interactions(W.retention(scored(spark, d))).withColumn("interaction", F.round("interaction", 4) + F.lit(0.0))
 
 
-def _sql_predicate(c: W.Config) -> str:
-    parts = ["true"]
-    for k in W.DIMENSIONS:
-        if k in c.on:
-            if k == "llm":
-                parts.append(f"llm >= {c.llm}")
-            elif k == "similarity":
-                parts += [f"similarity >= {c.similarity[0]}"] * (c.similarity[0] is not None) + [f"similarity <= {c.similarity[1]}"] * (c.similarity[1] is not None)
-            else:
-                parts.append(f"{k} >= 1")
-    if c.readiness is not None:
-        parts.append(f"readiness >= {c.readiness}")
-    return " AND ".join(parts)
-
-
-KEPT_SQL = "SELECT config, kept, total, round(kept::DOUBLE / total, 4) AS retention_rate FROM (" + " UNION ALL ".join(f"SELECT '{c.name}' AS config, count(*) FILTER (WHERE {_sql_predicate(c)}) AS kept, count(*) AS total FROM scored" for c in W.configs()) + ")"
+#: The catalogue, written out: what each configuration keeps; exp6_random_50pct keeps half of all, by a hash.
+CATALOGUE = """
+    exp1_all_off: true
+    exp1_full: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1
+    exp1_no_completeness: length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1
+    exp1_no_length: completeness >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1
+    exp1_no_llm_score: completeness >= 1 AND length >= 1 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1
+    exp1_no_similarity: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND dedup >= 1
+    exp1_no_dedup: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95
+    exp2_completeness_length: completeness >= 1 AND length >= 1
+    exp2_completeness_llm_score: completeness >= 1 AND llm >= 3.5
+    exp2_completeness_similarity: completeness >= 1 AND similarity BETWEEN 0.3 AND 0.95
+    exp2_completeness_dedup: completeness >= 1 AND dedup >= 1
+    exp2_length_llm_score: length >= 1 AND llm >= 3.5
+    exp2_length_similarity: length >= 1 AND similarity BETWEEN 0.3 AND 0.95
+    exp2_length_dedup: length >= 1 AND dedup >= 1
+    exp2_llm_score_similarity: llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95
+    exp2_llm_score_dedup: llm >= 3.5 AND dedup >= 1
+    exp2_similarity_dedup: similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1
+    exp2_only_completeness: completeness >= 1
+    exp2_only_length: length >= 1
+    exp2_only_llm_score: llm >= 3.5
+    exp2_only_similarity: similarity BETWEEN 0.3 AND 0.95
+    exp2_only_dedup: dedup >= 1
+    exp3_sim_10_80: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.1 AND 0.8 AND dedup >= 1
+    exp3_sim_10_85: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.1 AND 0.85 AND dedup >= 1
+    exp3_sim_10_90: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.1 AND 0.9 AND dedup >= 1
+    exp3_sim_10_95: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.1 AND 0.95 AND dedup >= 1
+    exp3_sim_20_80: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.2 AND 0.8 AND dedup >= 1
+    exp3_sim_20_85: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.2 AND 0.85 AND dedup >= 1
+    exp3_sim_20_90: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.2 AND 0.9 AND dedup >= 1
+    exp3_sim_20_95: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.2 AND 0.95 AND dedup >= 1
+    exp3_sim_30_80: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.8 AND dedup >= 1
+    exp3_sim_30_85: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.85 AND dedup >= 1
+    exp3_sim_30_90: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.9 AND dedup >= 1
+    exp3_sim_30_95: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1
+    exp3_sim_40_80: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.4 AND 0.8 AND dedup >= 1
+    exp3_sim_40_85: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.4 AND 0.85 AND dedup >= 1
+    exp3_sim_40_90: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.4 AND 0.9 AND dedup >= 1
+    exp3_sim_40_95: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.4 AND 0.95 AND dedup >= 1
+    exp3_sim_no_lower: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.0 AND 0.95 AND dedup >= 1
+    exp3_sim_no_upper: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 1.0 AND dedup >= 1
+    exp4_threshold_20: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1 AND readiness >= 20
+    exp4_threshold_30: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1 AND readiness >= 30
+    exp4_threshold_40: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1 AND readiness >= 40
+    exp4_threshold_50: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1 AND readiness >= 50
+    exp4_threshold_60: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1 AND readiness >= 60
+    exp4_threshold_70: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1 AND readiness >= 70
+    exp4_threshold_80: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1 AND readiness >= 80
+    exp4_threshold_90: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.95 AND dedup >= 1 AND readiness >= 90
+    exp6_alpagasus: llm >= 4.0
+    exp6_length_only: length >= 1
+    exp6_ifd_style: completeness >= 1 AND length >= 1 AND dedup >= 1
+    exp6_best: completeness >= 1 AND length >= 1 AND llm >= 3.5 AND similarity BETWEEN 0.3 AND 0.9 AND dedup >= 1 AND readiness >= 50
+"""
+_KEPT = dict(x.strip().split(": ", 1) for x in CATALOGUE.strip().splitlines())
+KEPT_SQL = (
+    f"SELECT config, kept, total, round(kept::DOUBLE / total, 4) AS retention_rate FROM (SELECT unnest({[*_KEPT, 'exp6_random_50pct']}) AS config, unnest(k) AS kept, total FROM ("
+    + "SELECT [" + ", ".join(f"count(*) FILTER (WHERE {p})" for p in _KEPT.values()) + ", count(*) // 2] AS k, count(*) AS total FROM scored))"
+)
 
 
 def split_round_robin(spark, d):  # noqa: ANN001, ANN201
@@ -268,7 +314,45 @@ def longest_by_source(spark, d):  # noqa: ANN001, ANN201
     return best_by(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.col("n_chars").desc(), F.col("doc_id")])
 
 
+def overlap_rates(spark, d):  # noqa: ANN001, ANN201
+    docs, reference = (x.select(F.col("doc_id").alias("id"), "text") for x in _reference(spark, d))
+    return A.overlap_rates(docs, reference).select(F.round("exact_overlap_rate", 9).alias("exact_overlap_rate"), F.round("fuzzy_overlap_rate", 9).alias("fuzzy_overlap_rate"))
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    docs, reference = (x.select(F.col("doc_id").alias("id"), F.col("text").alias("response")) for x in _reference(spark, d))
+    return A.dataset_metrics(docs.join(records(spark, d).select("id", "instruction"), "id"), reference=reference)
+
+
+def dataset_metrics(spark, d):  # noqa: ANN001, ANN201
+    """Of the documents without a label; those with one are the reference."""
+    m = _metrics(spark, d)
+    return m.select([F.round(c, 9).alias(c) for c in m.columns])
+
+
+def _assessed(spark: SparkSession, d: str) -> DataFrame:
+    docs, _ = _reference(spark, d)
+    rows, results = E.build(records(spark, d).join(docs.select(F.col("doc_id").alias("id")), "id"), A.SFT_READINESS.chain(), E.Means(), every=True)
+    return E.all_results(rows, results)
+
+
+def assessment_score(spark, d):  # noqa: ANN001, ANN201
+    return A.score(_assessed(spark, d), _metrics(spark, d))
+
+
+def quality_summary(spark, d):  # noqa: ANN001, ANN201
+    return A.quality_summary(_assessed(spark, d))
+
+
+def retention_join(spark, d):  # noqa: ANN001, ANN201
+    """The catalogue with the retention of the runs that there are, 1 for the others."""
+    kept = W.retention(scored(spark, d)).where("config LIKE 'exp4%'")
+    names = spark.createDataFrame([(c.name,) for c in W.configs()], "config string")
+    return N.with_retention(names, kept)
+
+
 QUERIES = {
+    "overlap_rates": overlap_rates, "dataset_metrics": dataset_metrics, "assessment_score": assessment_score, "quality_summary": quality_summary, "retention_join": retention_join,
     "evaluator_summary": evaluator_summary, "evaluator_reasons": evaluator_reasons, "evaluator_warnings": evaluator_warnings, "record_scores": record_scores,
     "quality_gate": quality_gate, "length_filter": length_filter, "length_window": length_window, "completeness": completeness, "regex_blacklist": regex_blacklist,
     "json_filter": json_filter, "duplicate_rate": duplicate_rate, "distinct_1": _distinct_n(1), "distinct_2": _distinct_n(2), "token_stats": token_stats,
@@ -282,7 +366,25 @@ _SHINGLES = "SELECT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN
 _SUMMARY = "SELECT evaluator, count(*) AS total, count(*) FILTER (WHERE len(reasons) = 0) AS passed, count(*) FILTER (WHERE len(reasons) > 0) AS failed, avg(CASE WHEN len(reasons) = 0 THEN 1.0 ELSE 0.0 END) AS pass_rate, avg(CASE WHEN len(reasons) = 0 THEN 1.0 ELSE 0.0 END) AS avg_score, quantile_disc(CASE WHEN len(reasons) = 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 0.5) AS p50, quantile_disc(CASE WHEN len(reasons) = 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 0.95) AS p95 FROM e GROUP BY 1"
 _NUM = r"regexp_extract_all({}, '\d+(?:\.\d+)?')"
 
+_REF = f"""a AS MATERIALIZED (SELECT doc_id AS id, text, concat_ws(' ', source, lang) AS instruction, {tokens_sql('text')} AS w, doc_id IN (SELECT doc_id FROM labels) AS ref FROM documents),
+    d AS (SELECT id, w FROM a WHERE NOT ref), b AS (SELECT id, w FROM a WHERE ref), total AS (SELECT count(*) AS n FROM d),
+    dg AS ({_SHINGLES.format('d')}), bg AS ({_SHINGLES.format('b')}), dn AS (SELECT id, count(*) AS n FROM dg GROUP BY 1), bn AS (SELECT id, count(*) AS n FROM bg GROUP BY 1),
+    ex AS (SELECT id FROM d WHERE len(w) > 0 AND array_to_string(w, ' ') IN (SELECT array_to_string(w, ' ') FROM b)),
+    fz AS (SELECT x AS id FROM (SELECT dg.id AS x, bg.id AS y, count(*) AS c FROM dg JOIN bg USING (g) GROUP BY 1, 2) JOIN dn ON dn.id = x JOIN bn ON bn.id = y WHERE c / (dn.n + bn.n - c) >= 0.8),
+    rates AS (SELECT (SELECT count(*) FROM ex) / n AS exact_overlap_rate, (SELECT count(DISTINCT id) FROM (SELECT id FROM ex UNION ALL SELECT id FROM fz)) / n AS fuzzy_overlap_rate FROM total),
+    t AS (SELECT array_to_string(w, ' ') AS t FROM d), g AS (SELECT t, count(*) AS n FROM t GROUP BY 1), one AS (SELECT unnest(w) AS g FROM d),
+    two AS (SELECT unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM d), st AS (SELECT {strip_sql('instruction')} AS si, {strip_sql('text')} AS st FROM a WHERE NOT ref),
+    metrics AS (SELECT (SELECT sum(n - 1) FILTER (WHERE t <> '') / sum(n) FROM g) AS duplicate_rate, (SELECT count(DISTINCT g) / count(*) FROM one) AS distinct_1, (SELECT count(DISTINCT g) / count(*) FROM two) AS distinct_2,
+        (SELECT avg({est_sql('si')}) FROM st) AS avg_instruction_tokens, (SELECT avg({est_sql('st')}) FROM st) AS avg_response_tokens, exact_overlap_rate, fuzzy_overlap_rate FROM rates),
+    parts AS (SELECT (si <> '' AND st <> '')::INTEGER AS c, ({est_sql('si')} BETWEEN 3 AND 512 AND {est_sql('st')} BETWEEN 10 AND 2048)::INTEGER AS l,
+        (NOT regexp_matches(lower(st), 'as an ai|i cannot|i''m sorry|cannot assist with'))::INTEGER AS r FROM st)"""
 SQL = {
+    "overlap_rates": f"WITH {_REF} SELECT round(exact_overlap_rate, 9) AS exact_overlap_rate, round(fuzzy_overlap_rate, 9) AS fuzzy_overlap_rate FROM rates",
+    "dataset_metrics": f"WITH {_REF} SELECT " + ", ".join(f"round({c}, 9) AS {c}" for c in ("duplicate_rate", "distinct_1", "distinct_2", "avg_instruction_tokens", "avg_response_tokens", "exact_overlap_rate", "fuzzy_overlap_rate")) + " FROM metrics",
+    "assessment_score": f"""WITH {_REF} SELECT round((0.1 * avg(c) * 100 + 0.1 * avg(l) * 100 + 0.1 * avg(r) * 100 + 0.1 * (1 - any_value(duplicate_rate)) * 100 + 0.05 * any_value(distinct_2) * 100 + 0.05 * (1 - any_value(exact_overlap_rate)) * 100
+        + 0.05 * (1 - any_value(fuzzy_overlap_rate)) * 100)::DOUBLE / 0.55::DOUBLE, 2) AS score FROM parts, metrics""",
+    "quality_summary": f"WITH {_REF} " + " UNION ALL ".join(f"SELECT '{n}' AS dimension, count(*) AS scored, sum({c})::BIGINT AS passed, round(sum({c}) / count(*), 4) AS pass_rate, round(avg({c}), 4) AS avg_score FROM parts" for n, c in (("completeness", "c"), ("length-window", "l"), ("regex-filter", "r"))),
+    "retention_join": f"WITH {SCORED_SQL}, z AS ({KEPT_SQL}) SELECT config, CASE WHEN config LIKE 'exp4%' THEN retention_rate ELSE 1.0 END AS retention_rate FROM z",
     "evaluator_summary": f"WITH {RESULTS_SQL} {_SUMMARY}",
     "evaluator_reasons": f"WITH {RESULTS_SQL} SELECT evaluator, reason, count(*) AS n FROM (SELECT evaluator, unnest(reasons) AS reason FROM e) GROUP BY 1, 2",
     "evaluator_warnings": f"WITH {RESULTS_SQL}, z AS ({_SUMMARY}) SELECT evaluator, 1 - pass_rate AS failure_rate FROM z WHERE 1 - pass_rate > 0.25",
@@ -315,16 +417,17 @@ SQL = {
         SELECT doc_id, coalesce(CASE WHEN regexp_full_match(st, '\d+(\.\d+)?') THEN CASE WHEN st::DOUBLE BETWEEN 1 AND 5 THEN st::DOUBLE END ELSE i[-1] END, -1) AS score,
             CASE WHEN len(k) > 0 THEN least(10.0, k[-1]::DOUBLE) * 10 ELSE 0 END AS ten, coalesce(nullif(regexp_extract(text, '\b(10|[1-9])\b', 1), '')::DOUBLE, 5.0) AS rating FROM x""",
     "reasoning_split": f"SELECT conv_id, turn, role || ' thinks' AS reasoning, md5({strip_sql('text')}) AS answer FROM conversations",
-    "evolve_prompts": "WITH m AS (SELECT item_id, text, ['constraints', 'deepen', 'concretize'] AS k FROM benchmark) SELECT item_id, k[item_id % 3 + 1] AS round_robin, k[(item_id // 10) % 3 + 1] AS batch, replace(CASE k[item_id % 3 + 1] " + " ".join(f"WHEN '{k}' THEN '{v}'".replace("\n", "' || chr(10) || '") for k, v in G.MUTATIONS.items()) + " END, '{instruction}', text) AS prompt FROM m",
+    "evolve_prompts": "WITH m AS (SELECT item_id, text, ['constraints', 'deepen', 'concretize'] AS k FROM benchmark) SELECT item_id, k[item_id % 3 + 1] AS round_robin, k[(item_id // 10) % 3 + 1] AS batch, CASE item_id % 3 WHEN 0 THEN 'Add one more requirement to this task, so that it becomes harder to meet:' WHEN 1 THEN 'Rewrite this task so that it asks for more depth:' ELSE 'Rewrite this task with a concrete case in place of what is general:' END || chr(10) || text AS prompt FROM m",
     "chat_format": """SELECT doc_id AS id, md5('<|im_start|>user' || chr(10) || source || ' ' || lang || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || text || '<|im_end|>') AS chatml,
         md5('<|begin_of_text|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || source || ' ' || lang || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>') AS llama3 FROM documents""",
     "sft_readiness": f"WITH {SCORED_SQL} SELECT source, count(*) AS n, round(avg(readiness), 4) AS readiness, round(avg(llm), 4) AS llm FROM scored GROUP BY 1",
     "config_sweep": f"WITH {SCORED_SQL} {KEPT_SQL}",
-    "config_subsets": f"WITH {SCORED_SQL} " + " UNION ALL ".join(f"SELECT '{c.name}' AS config, source, count(*) AS n FROM scored WHERE {_sql_predicate(c)} GROUP BY source" for c in W.configs()),
-    "contributions": f"WITH {SCORED_SQL}, z AS ({KEPT_SQL}) SELECT substr(config, 4) AS dimension, round((SELECT retention_rate FROM z WHERE config = 'full') - retention_rate, 4) AS contribution FROM z WHERE config LIKE 'no_%'",
-    "interactions": f"""WITH {SCORED_SQL}, z AS ({KEPT_SQL}) SELECT x.d AS a, y.d AS b, round(p.retention_rate - (sx.retention_rate + sy.retention_rate - o.retention_rate), 4) + 0.0 AS interaction
-        FROM (SELECT unnest({list(W.DIMENSIONS)}) AS d) x JOIN (SELECT unnest({list(W.DIMENSIONS)}) AS d) y ON true JOIN z p ON p.config = 'pair_' || x.d || '_' || y.d
-        JOIN z sx ON sx.config = 'solo_' || x.d JOIN z sy ON sy.config = 'solo_' || y.d JOIN z o ON o.config = 'all_off'""",
+    "config_subsets": f"WITH {SCORED_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS config, source, count(*) AS n FROM scored WHERE {p} GROUP BY source" for n, p in _KEPT.items())
+        + " UNION ALL SELECT 'exp6_random_50pct', source, count(*) FROM (SELECT source FROM scored ORDER BY md5('42:' || doc_id), doc_id LIMIT (SELECT count(*) // 2 FROM scored)) GROUP BY source",
+    "contributions": f"WITH {SCORED_SQL}, z AS MATERIALIZED ({KEPT_SQL}) SELECT substr(config, 9) AS dimension, round((SELECT retention_rate FROM z WHERE config = 'exp1_full') - retention_rate, 4) AS contribution FROM z WHERE config LIKE 'exp1_no_%'",
+    "interactions": f"""WITH {SCORED_SQL}, z AS MATERIALIZED ({KEPT_SQL}), d AS (SELECT unnest(['completeness', 'length', 'llm_score', 'similarity', 'dedup']) AS d, unnest([1, 2, 3, 4, 5]) AS k)
+        SELECT x.d AS a, y.d AS b, round(p.retention_rate - (sx.retention_rate + sy.retention_rate - o.retention_rate), 4) + 0.0 AS interaction
+        FROM d x JOIN d y ON x.k < y.k JOIN z p ON p.config = 'exp2_' || x.d || '_' || y.d JOIN z sx ON sx.config = 'exp2_only_' || x.d JOIN z sy ON sy.config = 'exp2_only_' || y.d JOIN z o ON o.config = 'exp1_all_off'""",
     "split_round_robin": 'SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS "index", ((row_number() OVER (ORDER BY doc_id) - 1) % 4)::INTEGER AS shard FROM documents',
     "merge_dedup": "SELECT n_chars AS key, doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY n_chars ORDER BY lang, doc_id) = 1",
     "resume_anti_join": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

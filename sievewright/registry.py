@@ -29,13 +29,20 @@ def names(kind: str) -> list[str]:
 
 
 def _built_in() -> None:
+    from .operators import assessment, benchmark
     from .operators import evaluators as E
     from .operators import strategies as S
 
-    for name, f in {"completeness": E.completeness, "length-filter": E.length_filter, "length-window": E.length_window, "regex-filter": E.regex_filter, "similarity": E.similarity, "llm-judge": E.judged}.items():
+    for name, f in {
+        "completeness": E.simple(E.completeness, True), "length-filter": E.simple(E.length_filter), "length-window": E.simple(E.length_window, True), "regex-filter": E.simple(E.regex_filter),
+        "similarity": E.by_similarity, "llm-judge": E.by_judge, "multi-criteria": E.by_criteria, "dedup": E.by_dedup,
+    }.items():
         register("evaluator", name)(f)
-    for name, f in {"evol-instruct": S.evolve, "paraphrase": S.paraphrase, "seed-to-qa": S.question_answers, "self-play": S.self_play}.items():
+    for name, f in {"evol-instruct": S.evolve, "paraphrase": S.paraphrase, "seed-to-qa": S.question_answers, "self-play": S.self_play, "answers": S.answer_all}.items():
         register("strategy", name)(f)
+    register("suite", "sft_readiness_v1")(assessment.SFT_READINESS)
+    for name, task in benchmark.TASKS.items():
+        register("benchmark", name)(task)
 
 
 _built_in()

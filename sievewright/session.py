@@ -4,13 +4,26 @@ from __future__ import annotations
 
 import os
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def visible(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers find this package where the driver has it, whatever folder they start in.
+
+    On a cluster whose nodes do not share the driver's folders, install the package there or pass it with --py-files.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH")]))
+    return spark
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
-    return (
+    return visible(
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
