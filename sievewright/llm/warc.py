@@ -92,29 +92,33 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """The crawl that the table of pages stands for: of each page one response and three later or earlier visits.
+    """The crawl that the table of pages stands for: of each page two versions a few days apart, visits around them, an error.
 
-    A page is fetched at minute page_id. A day before, there is a visit that knows its digest; a day and two days
-    after, visits answered "not modified", the one with the page's ETag as a weak one, the other with
-    Last-Modified only, which for pages whose digest begins with 0 to 3 is not the page's.
+    By day, from minute page_id on: -1 a visit that knows the first digest; 0 the first version; 1 a visit with its
+    ETag as a weak one; 2 one with Last-Modified only, which for pages whose digest begins with 0 to 3 is not the
+    page's; 3 the second version; 4 a visit with its ETag, or with the first one's for pages whose digest begins with
+    0 to 7; 5 an error 404; 6 a visit that carries no validator.
     """
-    p = pages.select("page_id", "url", F.md5("html").alias("digest"), F.octet_length("html").cast("long").alias("length"))
-    stamp = F.concat(F.lit("m-"), F.col("page_id"))
-    day = 1440
+    p = pages.select("page_id", "url", F.md5("html").alias("digest"), F.octet_length("html").cast("long").alias("length")).withColumn("second", F.md5(F.concat("digest", F.lit("-2"))))
     header = lambda *kv: F.map_from_arrays(F.array(*[F.lit(k) for k in kv[::2]]), F.array(*[v if isinstance(v, Column) else F.lit(v) for v in kv[1::2]]))
-    record = lambda k, kind, at, status, headers, digest: F.struct(
-        (F.col("page_id") * 4 + k).alias("record_id"), F.lit(kind).alias("warc_type"), (F.col("page_id") + at).alias("ts"), F.lit(status).alias("status"), headers.alias("headers"), digest.alias("digest")
+    record = lambda k, kind, day, status, headers, digest: F.struct(
+        (F.col("page_id") * 8 + k).alias("record_id"), F.lit(kind).alias("warc_type"), (F.col("page_id") + day * 1440).alias("ts"), F.lit(status).alias("status"), headers.alias("headers"), digest.alias("digest")
     )
     none = F.lit(None).cast("string")
-    quoted = F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
-    other = F.when(F.substring("digest", 1, 1) < "4", F.concat(stamp, F.lit("-changed"))).otherwise(stamp)
+    quoted = lambda d: F.concat(F.lit('"'), F.substring(d, 1, 16), F.lit('"'))
+    full = lambda k, day, d, m, date: record(k, "response", day, 200, header("Content-Type", "text/html", "Content-Length", F.col("length").cast("string"), "ETag", quoted(d), "Last-Modified", F.concat(F.lit(m), F.col("page_id")), "Date", date, "Cache-Control", "no-cache"), F.col(d))
+    other = F.concat(F.lit("m-"), F.col("page_id"), F.when(F.substring("digest", 1, 1) < "4", "-changed").otherwise(""))
     made = F.array(
-        record(0, "revisit", -day, 304, header("Date", "before"), F.col("digest")),
-        record(1, "response", 0, 200, header("Content-Type", "text/html", "Content-Length", F.col("length").cast("string"), "ETag", quoted, "Last-Modified", stamp, "Date", "first", "Cache-Control", "no-cache"), F.col("digest")),
-        record(2, "revisit", day, 304, header("ETag", F.concat(F.lit("W/"), quoted), "Content-Length", "0", "Date", "second", "Cache-Control", "max-age=60"), none),
-        record(3, "revisit", 2 * day, 304, header("Last-Modified", other, "Date", "third", "Connection", "close", "Expires", "never"), none),
+        record(0, "revisit", -1, 304, header("Date", "before"), F.col("digest")),
+        full(1, 0, "digest", "m-", "first"),
+        record(2, "revisit", 1, 304, header("ETag", F.concat(F.lit("W/"), quoted("digest")), "Content-Length", "0", "Date", "second", "Cache-Control", "max-age=60"), none),
+        record(3, "revisit", 2, 304, header("Last-Modified", other, "Date", "third", "Connection", "close", "Expires", "never"), none),
+        full(4, 3, "second", "m2-", "fourth"),
+        record(5, "response", 4, 304, header("ETag", F.when(F.substring("digest", 1, 1) < "8", quoted("digest")).otherwise(quoted("second")), "Date", "fifth"), none),
+        record(6, "response", 5, 404, header("ETag", '"none"'), none),
+        record(7, "revisit", 6, 304, header("Date", "seventh"), none),
     )
-    return p.select("url", "length", F.explode(made).alias("r")).select("url", F.when(F.col("r.warc_type") == "response", F.col("length")).alias("length"), "r.*")
+    return p.select("url", "length", F.explode(made).alias("r")).select("url", F.when(F.col("r.status") == 200, F.col("length")).alias("length"), "r.*")
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,27 +143,32 @@ SQL = {
             SELECT page_id, digest, length, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', ''), '^www[.]', '')
                 || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '')
                 || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM c),
-        full_ AS (SELECT page_id * 4 + 1 AS id, page_id, canonical, page_id AS ts, digest, length FROM p),
+        full_ AS (
+            SELECT page_id * 8 + 1 AS id, canonical, page_id AS ts, digest, length, 'm-' || page_id AS modified FROM p
+            UNION ALL SELECT page_id * 8 + 4, canonical, page_id + 4320, md5(digest || '-2'), length, 'm2-' || page_id FROM p),
         visits AS (
-            SELECT page_id * 4 AS record_id, canonical, page_id - 1440 AS ts, NULL AS etag, NULL AS modified, digest, 0 AS k FROM p
-            UNION ALL SELECT page_id * 4 + 2, canonical, page_id + 1440, substr(digest, 1, 16), NULL, NULL, 2 FROM p
-            UNION ALL SELECT page_id * 4 + 3, canonical, page_id + 2880, NULL,
-                'm-' || page_id || CASE WHEN substr(digest, 1, 1) < '4' THEN '-changed' ELSE '' END, NULL, 3 FROM p),
+            SELECT page_id * 8 AS record_id, canonical, page_id - 1440 AS ts, NULL AS etag, NULL AS modified, digest, 0 AS k FROM p
+            UNION ALL SELECT page_id * 8 + 2, canonical, page_id + 1440, substr(digest, 1, 16), NULL, NULL, 2 FROM p
+            UNION ALL SELECT page_id * 8 + 3, canonical, page_id + 2880, NULL,
+                'm-' || page_id || CASE WHEN substr(digest, 1, 1) < '4' THEN '-changed' ELSE '' END, NULL, 3 FROM p
+            UNION ALL SELECT page_id * 8 + 5, canonical, page_id + 5760,
+                substr(CASE WHEN substr(digest, 1, 1) < '8' THEN digest ELSE md5(digest || '-2') END, 1, 16), NULL, NULL, 5 FROM p
+            UNION ALL SELECT page_id * 8 + 7, canonical, page_id + 8640, NULL, NULL, NULL, 7 FROM p),
         j AS (
-            SELECT v.*, f.id AS refers_to, f.ts AS refers_to_ts, f.digest AS f_digest, f.length AS f_length, f.page_id AS f_page FROM visits v
+            SELECT v.*, f.id AS refers_to, f.ts AS refers_to_ts, f.digest AS f_digest, f.length AS f_length, f.modified AS f_modified FROM visits v
             LEFT JOIN full_ f ON f.canonical = v.canonical AND (f.ts < v.ts OR f.ts = v.ts AND f.id < v.record_id)
             QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY f.ts DESC NULLS LAST, f.id DESC) = 1),
         o AS (
-            SELECT *, CASE WHEN refers_to IS NULL THEN 'no_response'
-                WHEN k = 0 AND digest <> f_digest OR k = 2 AND etag <> substr(f_digest, 1, 16) OR k = 3 AND modified <> 'm-' || f_page THEN 'mismatch'
+            SELECT *, CASE WHEN refers_to IS NULL THEN 'no_response' WHEN k = 7 THEN 'unvalidated'
+                WHEN k = 0 AND digest <> f_digest OR k IN (2, 5) AND etag <> substr(f_digest, 1, 16) OR k = 3 AND modified <> f_modified THEN 'mismatch'
                 ELSE 'resolved' END AS outcome FROM j)
         SELECT record_id, canonical, ts, outcome, coalesce(refers_to, -1) AS refers_to, coalesce(refers_to_ts, -1) AS refers_to_ts,
             CASE WHEN outcome = 'resolved' THEN f_digest ELSE '' END AS digest, CASE WHEN outcome = 'resolved' THEN f_length ELSE -1 END AS length,
             CASE WHEN outcome = 'resolved' THEN
                 'cache-control: ' || CASE k WHEN 2 THEN 'max-age=60' ELSE 'no-cache' END || chr(10)
                 || 'content-length: ' || f_length || chr(10) || 'content-type: text/html' || chr(10)
-                || 'date: ' || CASE k WHEN 0 THEN 'before' WHEN 2 THEN 'second' ELSE 'third' END || chr(10)
+                || 'date: ' || CASE k WHEN 0 THEN 'before' WHEN 2 THEN 'second' WHEN 3 THEN 'third' ELSE 'fifth' END || chr(10)
                 || 'etag: ' || CASE k WHEN 2 THEN 'W/' ELSE '' END || '"' || substr(f_digest, 1, 16) || '"' || chr(10)
-                || CASE k WHEN 3 THEN 'expires: never' || chr(10) ELSE '' END || 'last-modified: m-' || f_page ELSE '' END AS headers
+                || CASE k WHEN 3 THEN 'expires: never' || chr(10) ELSE '' END || 'last-modified: ' || f_modified ELSE '' END AS headers
         FROM o""",
 }
