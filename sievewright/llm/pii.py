@@ -116,7 +116,7 @@ def _ipv4(t: str, at: int) -> Found | None:
 
 
 def phone(t: str, at: int) -> Found | None:
-    """at: the place of a plus sign. A country code of 1 to 3 digits, then groups of 2 to 4 with single separators or brackets; ten digits after +1, else 8 to 15 in all."""
+    """at: the place of a plus sign. A country code of 1 to 3 digits, then groups of 2 to 10 with single separators or brackets; ten digits after +1, else 8 to 15 in all."""
     if at > 0 and _word(t[at - 1]):
         return None
     end = _run(t, at + 1)
@@ -133,7 +133,7 @@ def phone(t: str, at: int) -> Found | None:
             bracket = p < len(t) and t[p] == "("
             p += bracket
             end = _run(t, p)
-            if not 2 <= end - p <= 4 or digits + end - p > want:
+            if not 2 <= end - p <= 10 or digits + end - p > want:
                 break
             if bracket:
                 if end >= len(t) or t[end] != ")":
