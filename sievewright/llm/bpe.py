@@ -20,7 +20,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How a text is cut into pre-tokens; every character belongs to one.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a task remembers, and bytes in them, about.
-MEMO, LETTERS = 300_000, 16 << 20
+MEMO, LETTERS = 200_000, 8 << 20
 #: Characters that are encoded at once.
 CHUNK = 1 << 22
 
@@ -233,7 +233,7 @@ def encoded(tok: Tokenizer, texts: pa.Array) -> pa.StructArray:
 
 
 def encode_column(df: DataFrame, text: str = "text", out: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The frame with one more column `out`: struct(ids array<int>, n_tokens, exact).
+    """The frame with one more column `out`: struct(ids array<int>, n_tokens, exact); a column of that name is replaced.
 
     Every text is encoded whole and decoded again; exact tells whether its bytes came back. The ids of a null
     text are null, those of an empty one an empty array; bytes that are no UTF-8 are encoded as they are.
@@ -250,7 +250,7 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "tokens", vocabu
 
 
 def decode_column(df: DataFrame, ids: str = "ids", out: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The frame with the text of the ids as column `out`: null for null, empty for no ids. Unknown ids are an error."""
+    """The frame with the text of the ids as column `out`, in place of one of that name: null for null, empty for no ids. Unknown ids are an error."""
     tok = df.sparkSession.sparkContext.broadcast(Tokenizer(vocabulary))
 
     @F.arrow_udf("binary")

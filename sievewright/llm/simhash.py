@@ -31,7 +31,7 @@ SPLITS = ((1 << 21, 0), (1 << 25, 3), (1 << 62, 6))
 #: Node pairs that are compared at once, and pairs found that are held.
 CHUNK = 1 << 19
 #: Words whose hashes a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 _WORD = re.compile(r"\w+")
 
