@@ -14,7 +14,7 @@ from . import bloom
 from ._common import SMALL_ROWS, col, fresh, stored, table
 
 #: (least bytes of the shorter line, edits that two near lines may differ by); shorter lines must be equal.
-BANDS = ((40, 2), (20, 1))
+BANDS = ((100, 3), (40, 2), (20, 1))
 LEAST, MOST = min(n for n, _ in BANDS), max(k for _, k in BANDS)
 #: Pairs that are verified, or formed, at once.
 CHUNK = 1 << 13
