@@ -23,6 +23,7 @@ from sievewright.operators import results as X
 from sievewright.operators import sampling as S
 from sievewright.operators import stats as N
 from sievewright.operators import strategies as G
+from sievewright.operators import tiles
 from sievewright.sources import records as R
 from sievewright.streaming import pipeline as L
 
@@ -466,6 +467,18 @@ def test_dedup_evaluator_is_greedy(spark, small):
     assert got == want and not all(want.values())
 
 
+def test_cosine_pairs_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE", 20)
+    monkeypatch.setattr(tiles, "PIECE", 7)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(9, 8)), 15, axis=0) + rng.normal(size=(135, 8)) * 0.08
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(900, [0.0] * 8), (901, None), (902, [1.0])], "id long, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j): u[i] @ u[j] for j in range(135) for i in range(j) if u[i] @ u[j] >= 0.98}
+    assert {(r.a, r.b): r.similarity for r in D.cosine_pairs(df, 0.98).collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    assert D.cosine_pairs(df.limit(0), 0.98).count() == 0
+
+
 def test_semantic_dedup_against_loop(spark, small):
     from sievewright.plans import tables
 
