@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sievewright.llm import bloom, bpe, embedding_dedup, exact_dedup, langid, line_dedup, lm_score, mixing, pii, simhash, warc
 from sievewright.llm import _common, registry
 from sievewright.llm._common import components, fresh
+from sievewright.operators import tiles
 
 #: Columns whose names operators might use themselves.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash long, flag boolean, rank int, node long, root long, epoch int, `copies` int, identified string, tokens string"
@@ -651,8 +652,8 @@ def test_embeddings_hard_against_brute_force(spark):
 
 def test_embedding_tiles(spark, monkeypatch):
     """Many small tiles, with pairs of tiles left out, give what brute force gives; so do pairs that the bound leaves open."""
-    monkeypatch.setattr(embedding_dedup, "TILE", 20)
-    monkeypatch.setattr(embedding_dedup, "PIECE", 7)
+    monkeypatch.setattr(tiles, "TILE", 20)
+    monkeypatch.setattr(tiles, "PIECE", 7)
     rng = np.random.default_rng(2)
     x = np.repeat(rng.normal(size=(12, 8)), 20, axis=0) + rng.normal(size=(240, 8)) * 0.05
     rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
@@ -665,7 +666,7 @@ def test_quantisation_bound():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q, s, e = embedding_dedup.quantise(x)
+    q, s, e = tiles.quantise(x)
     near = (q * s[:, None]) @ (q * s[:, None]).T
     assert (np.abs(x @ x.T - near) <= e[:, None] * (1 + e) + e + 1e-12).all()
 
