@@ -37,6 +37,10 @@ def est_sql(x: str) -> str:
     return f"CASE WHEN {x} = '' THEN 0 ELSE greatest(1, length({x}) // 4) END"
 
 
+#: Of rows o (i from 1 on, id, near: the ids before it that it is near to) the ids that stay, in order, as the last list of k.
+GREEDY = "k AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(k.kept, o.near) THEN k.kept ELSE list_append(k.kept, o.id) END FROM k JOIN o ON o.i = k.i + 1)"
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -412,6 +416,12 @@ SQL = {
     "jaccard_pairs": f"""WITH d AS (SELECT doc_id AS id, {words_sql('lower(text)')} AS w FROM documents), g AS ({_SHINGLES.format('d')}), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
         c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
         SELECT a, b, round(c / (p.n + q.n - c), 6) AS similarity FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE c / (p.n + q.n - c) >= 0.8""",
+    "study_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {words_sql('lower(text)')} AS w FROM documents), u AS (SELECT id, CASE WHEN len(w) = 0 THEN [''] ELSE w END AS w FROM d), g AS ({_SHINGLES.format('u')}), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+        c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2), t AS MATERIALIZED (SELECT doc_id AS id, {strip_sql('text')} AS t FROM documents),
+        e AS (SELECT a, b FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE c / (p.n + q.n - c) >= 0.8 UNION SELECT x.id, y.id FROM t x JOIN t y ON x.t = y.t AND x.id < y.id),
+        l AS (SELECT b AS id, list(a) AS near FROM e GROUP BY 1), o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t.id) AS i, t.id, coalesce(near, []) AS near FROM t LEFT JOIN l USING (id)), {GREEDY},
+        f AS MATERIALIZED (SELECT unnest(kept) AS id FROM (SELECT kept FROM k ORDER BY i DESC LIMIT 1))
+        SELECT id, CASE WHEN id IN (SELECT id FROM f) THEN 'kept' WHEN t IN (SELECT t FROM t JOIN f USING (id)) THEN 'exact_duplicate' ELSE 'near_duplicate' END AS status FROM t""",
     "judge_scores": rf"""WITH s AS (SELECT doc_id, text, {strip_sql('text')} AS st FROM documents),
         x AS (SELECT *, list_filter(list_transform({_NUM.format('st')}, lambda v: v::DOUBLE), lambda v: v BETWEEN 1 AND 5) AS i, regexp_extract_all(text, '\b\d+(?:\.\d+)?\b') AS k FROM s)
         SELECT doc_id, coalesce(CASE WHEN regexp_full_match(st, '\d+(\.\d+)?') THEN CASE WHEN st::DOUBLE BETWEEN 1 AND 5 THEN st::DOUBLE END ELSE i[-1] END, -1) AS score,

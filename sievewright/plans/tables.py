@@ -18,7 +18,7 @@ from ..operators import results as N
 from ..operators import stats as S
 from ..operators import strategies as G
 from ..streaming import pipeline as L
-from .documents import strip_sql, table, words_sql
+from .documents import GREEDY, strip_sql, table, words_sql
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -423,6 +423,14 @@ SQL = {
     "counter_growth": "SELECT event_type, CASE WHEN a >= b THEN a - b ELSE a END AS delta FROM (SELECT event_type, coalesce(max(event_id) FILTER (WHERE hour(ts) < 12), 0)::DOUBLE AS b, coalesce(max(event_id) FILTER (WHERE hour(ts) >= 12), 0)::DOUBLE AS a FROM events GROUP BY 1)",
     "similarity_gate": f"SELECT x.vec_id, round({_COS}, 4) AS score, round({_COS}, 4) BETWEEN 0.05 AND 0.95 AS passed FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1",
     "semantic_pairs": f"SELECT x.vec_id AS a, y.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {_COS} >= 0.3",
+    "semantic_dedup": f"""WITH RECURSIVE p AS (SELECT y.vec_id AS id, list(x.vec_id) AS near FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {_COS} >= 0.3 GROUP BY 1),
+        o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id AS id, coalesce(near, []) AS near FROM embeddings LEFT JOIN p ON p.id = vec_id), {GREEDY}
+        SELECT unnest(kept) AS id FROM (SELECT kept FROM k ORDER BY i DESC LIMIT 1)""",
+    "dedup_evaluator": f"""WITH RECURSIVE v AS (SELECT {_ID} AS id, {strip_sql('text')} = '' AS none, {_VEC.format('text')} AS v FROM conversations), w AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM v WHERE NOT none),
+        p AS (SELECT y.n AS id, list(x.n) AS near FROM w x JOIN w y ON x.n < y.n WHERE list_dot_product(x.v, x.v) > 0 AND list_dot_product(y.v, y.v) > 0 AND list_cosine_similarity(x.v, y.v) >= 0.998 GROUP BY 1),
+        o AS MATERIALIZED (SELECT n AS i, n AS id, coalesce(near, []) AS near FROM w LEFT JOIN p ON p.id = n), {GREEDY}, f AS (SELECT unnest(kept) AS n FROM (SELECT kept FROM k ORDER BY i DESC LIMIT 1))
+        SELECT v.id, f.n IS NOT NULL AS passed, CASE WHEN f.n IS NOT NULL THEN 1.0 ELSE 0.0 END AS score, CASE WHEN v.none THEN 'empty_text' WHEN f.n IS NULL THEN 'near_duplicate' ELSE '' END AS reasons
+        FROM v LEFT JOIN w ON w.id = v.id LEFT JOIN f ON f.n = w.n""",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
 SQL["stream_pipeline"] = SQL["generation_pipeline"]
