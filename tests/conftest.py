@@ -13,7 +13,7 @@ SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(4, shuffle_partitions=4, memory="4g")
+    s = local_session(4, shuffle_partitions=2, memory="4g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
