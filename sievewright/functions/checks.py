@@ -12,7 +12,7 @@ from .text import lines, strip, words
 
 #: What an answer says that refuses, in any case.
 REFUSALS = ("i cannot", "i can't help", "i won't provide", "cannot assist", "sorry")
-FRENCH = ("le", "la", "les", "de", "du", "un", "une", "et", "est", "en")
+FRENCH = "de du en est et la le les un une".split()
 
 
 def _full(c: Column, sep: str = "\n") -> Column:

@@ -376,7 +376,7 @@ SQL = {
         count(*) FILTER (WHERE abs(len(w) - 60) <= 2) AS word_count, count(*) FILTER (WHERE len(list_filter(raw, lambda x: starts_with({strip_sql('x')}, '- '))) > 0) AS bullet_format, count(*) FILTER (WHERE ends_with(st, '.')) AS ends_with,
         count(*) FILTER (WHERE {_full("string_split(st, chr(10))")} = 4) AS haiku_lines, count(*) FILTER (WHERE contains(text, 'th') AND contains(text, 'er')) AS ordered_markers,
         count(*) FILTER (WHERE {_full("string_split(text, chr(10) || chr(10))")} = 1) AS paragraph_count,
-        count(*) FILTER (WHERE len(list_intersect(list_transform(w, lambda x: lower(x)), ['le', 'la', 'les', 'de', 'du', 'un', 'une', 'et', 'est', 'en'])) >= 3) AS language_french FROM l GROUP BY 1""",
+        count(*) FILTER (WHERE len(list_intersect(list_transform(w, lambda x: lower(x)), ['de', 'du', 'en', 'est', 'et', 'la', 'le', 'les', 'un', 'une'])) >= 3) AS language_french FROM l GROUP BY 1""",
     "strict_accuracy": f"""WITH {_STUDIED}, p AS (SELECT lang, NOT contains(lower(text), 'qu') AND {_full("string_split(text, chr(10) || chr(10))")} = 1 AS ok FROM l)
         SELECT lang, count(*) FILTER (WHERE ok) AS strict_pass, count(*) AS total, round(count(*) FILTER (WHERE ok) / count(*), 4) AS strict_accuracy FROM p GROUP BY 1""",
     "benchmark_categories": f"WITH {_CASES} SELECT task, category, round(avg(score), 2) AS score, count(*) AS n FROM y GROUP BY 1, 2",
