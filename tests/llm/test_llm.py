@@ -506,6 +506,43 @@ def test_lm_steps_grow_with_the_corpus():
     assert all(a * b * lm_score.TRAINER >= n for n in (0, 1, 10**6, 10**9) for a, b in [lm_score.plan(n)])
 
 
+def test_lm_forms_what_the_texts_need():
+    """Not the places without targets, nor positions that are fills."""
+    m = lm_score.Model(np.ones(lm_score.SIZE))
+    w, t, _ = lm_score.windows([np.arange(5), np.arange(lm_score.STEP + 3)])
+    _, (_, kept) = m._attend(w, t >= 0, keep=True)
+    assert [s.shape for _, _, _, s, *_ in kept] == [(5, 5), (lm_score.STEP, lm_score.STEP), (3, lm_score.BEFORE + 3)]
+
+
+def test_lm_large_exponents():
+    """A constant in the bias changes nothing but the way: beyond 60 the maximum is taken off first."""
+    r = np.random.default_rng(4)
+    m = lm_score.Model(np.ones(lm_score.SIZE))
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    m.p["far"] = r.normal(0, 1, m.p["far"].size)
+    w, t, _ = lm_score.windows([r.integers(0, 40, 600), np.full(300, 7), np.arange(2)])
+    want, (_, g) = m.score(w, t), m.gradient(w, t)
+    m.p["far"] = m.p["far"] + 800
+    assert m.score(w, t) == pytest.approx(want)
+    for key, x in m.gradient(w, t)[1].items():
+        assert np.allclose(x, g[key], rtol=1e-6, atol=1e-9 * np.abs(g[key]).max()), key
+
+
+def test_lm_trainers_have_tasks_of_their_own(spark):
+    part = spark.range(1000).selectExpr("id % 13 AS trainer", "id AS z", "CAST('ab' AS BINARY) AS ids")
+    got = lm_score.by_trainer(part, 13).select(F.spark_partition_id().alias("task"), "trainer").distinct().collect()
+    assert len(got) == len({r.task for r in got}) == len({r.trainer for r in got}) == 13
+
+
+def test_lm_leaves_one_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(k, f"text {k} " * 30) for k in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(lm_score, "TRAINER", 300)  # several rounds
+    out = lm_score.lm_scores(docs)
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["subwords"]
+    assert out.count() == 20
+
+
 def test_lm_hard(hard, empty):
     rows = lm_score.lm_scores(hard).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in HARD)
