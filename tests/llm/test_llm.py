@@ -514,6 +514,69 @@ def test_lm_forms_what_the_texts_need():
     assert [s.shape for _, _, _, s, *_ in kept] == [(5, 5), (lm_score.STEP, lm_score.STEP), (3, lm_score.BEFORE + 3)]
 
 
+def test_lm_forms_a_product_for_each_different_subword():
+    """However often a window has it."""
+    m = lm_score.Model(np.ones(lm_score.SIZE))
+    w, t, _ = lm_score.windows([np.full(lm_score.STEP + 44, 7), np.arange(90) % 3])
+    _, (_, kept) = m._attend(w, t >= 0, keep=True)
+    assert [s.shape for _, _, _, s, *_ in kept] == [(lm_score.STEP, 2), (44, 2), (90, 4)]
+
+
+def test_lm_sums_of_rows_and_by_distance():
+    r = np.random.default_rng(6)
+    at, rows = np.minimum(r.integers(0, 40, 900) ** 2 // 30, 30), r.normal(size=(501, 300))
+    own, at = lm_score._distinct(at, 40)
+    rows[-1], which = 0, r.integers(0, 500, 900)
+    want = np.zeros((len(own), 300))
+    np.add.at(want, at, rows[which])
+    assert np.allclose(lm_score._sums(rows, which, at, len(own)), want)
+    got, want = lm_score.Distances(np.float64), np.zeros(lm_score.BEFORE + lm_score.STEP)
+    for begin, end in ((0, lm_score.STEP), (lm_score.BEFORE, 9), (100, 200)):
+        numbers, at = r.normal(size=(20, end)), r.integers(0, 20, lm_score.BEFORE + end - begin)
+        got.add(numbers, at, begin)
+        for k, of in enumerate(at):
+            for i in range(max(0, begin + k - lm_score.BEFORE), end):
+                want[lm_score.BEFORE + i - begin - k] += numbers[of, i]
+    assert np.allclose(got.total(), want)
+
+
+def test_lm_trains_as_plain_adam():
+    """Though subwords and classes that the windows do not have are left out."""
+    r = np.random.default_rng(8)
+    w, t, _ = lm_score.windows([r.integers(0, 300, n) for n in (700, 40, 5, 300)])
+    m, plain = (lm_score.Model(np.arange(lm_score.SIZE)[::-1]) for _ in range(2))
+    start = {k: x.copy() for k, x in m.p.items()}
+    given = dict(m.p)
+    m.train(w, t, 0.01, 2)
+    steps, first, second = -(-len(w) // 2), 0.0, 0.0
+    for step in range(1, steps + 1):
+        new = plain.gradient(w[2 * step - 2 : 2 * step], t[2 * step - 2 : 2 * step])[1]
+        new = np.concatenate([x.ravel() for x in new.values()])
+        first, second = 0.9 * first + 0.1 * new, 0.995 * second + 0.005 * new**2
+        now = 0.01 * min(1.0, step / 20) * (1 - 0.8 * step / steps)
+        plain.take(plain.vector() - now * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.995**step)) + 1e-8))
+    for k, x in m.p.items():
+        assert np.allclose(x, plain.p[k], atol=2e-6), k
+        assert (given[k] == start[k]).all(), k
+    assert m.score(w, t) == pytest.approx(plain.score(w, t), abs=1e-4)
+
+
+def test_lm_trainer_gives_its_moves():
+    """Of what its texts do not have, 0."""
+    ids = (np.arange(200) % 9).astype("<u2")
+
+    class Given:
+        value = lm_score.Model(np.arange(lm_score.SIZE)[::-1])
+
+    batch = pa.RecordBatch.from_pydict({"trainer": [4], "ids": [ids.tobytes()]})
+    (row,) = lm_score._trainer(Given, 0.01)(iter([batch]))
+    moved = np.frombuffer(row.column("params")[0].as_py(), np.float32)
+    assert (moved == 0).mean() > 0.9
+    trained = lm_score.Model(np.arange(lm_score.SIZE)[::-1]).train(*lm_score.windows([ids.astype(np.int64)])[:2], 0.01)
+    assert np.allclose(Given.value.vector() + moved, trained.vector(), atol=1e-6)
+    assert (row.column("trainer")[0].as_py(), row.column("n")[0].as_py()) == (4, 1)
+
+
 def test_lm_large_exponents():
     """A constant in the bias changes nothing but the way: beyond 60 the maximum is taken off first."""
     r = np.random.default_rng(4)
