@@ -48,7 +48,7 @@ def overlap_rates(df: DataFrame, reference: DataFrame, text: str = "text", key:
     """One row: the share of rows whose normalised text is a reference's, and the share that is so or near one by word 5-grams. Keys are distinct."""
     side = lambda d: d.select(key, T.shingles(T.tokens(F.col(text)), 5).alias("shingles")).withColumnRenamed(key, "id")
     exact = D.exact_overlap(df, reference, text).select(F.col(key).alias("id"))
-    near = D.jaccard_pairs(side(df), side(reference), threshold).select(F.col("a").alias("id"))
+    near = D.jaccard_overlap(side(df), side(reference), threshold)
     hits = exact.withColumn("exact", F.lit(1)).unionByName(near.withColumn("exact", F.lit(0))).groupBy("id").agg(F.max("exact").alias("exact"))
     found = hits.agg(F.coalesce(F.sum("exact"), F.lit(0)).alias("e"), F.count("*").alias("f"))
     total = df.agg(F.greatest(F.lit(1), F.count("*")).alias("n"))
