@@ -32,7 +32,7 @@ def unit(rows: list, n: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-Tile = tuple[np.ndarray, np.ndarray, np.ndarray]  # int8 values, scale, norm of what was lost
+Tile = tuple[np.ndarray, ...]  # int8 values, scale, norm of what was lost, and the vectors as they were if they are wanted
 
 
 def near_pairs(x: Tile, y: Tile, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -43,7 +43,7 @@ def near_pairs(x: Tile, y: Tile, threshold: float, same: bool) -> Iterator[tuple
     int8 values are whole numbers below 2^24 (2^53 for long vectors), so exact in floating point, which is how
     numpy multiplies fast.
     """
-    (q, s, e), (r, t, f) = x, y
+    (q, s, e), (r, t, f) = x[:3], y[:3]
     exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
     for lo in range(0, len(q), ROWS):
         from_ = lo if same else 0
@@ -79,8 +79,8 @@ def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, list]]:
         yield n, np.array(at), [rows[k] for k in at]
 
 
-def _assign(pivots) -> Callable:  # noqa: ANN001
-    """Rows (c, v): (c, n, cell, angle, q, scale, lost): the nearest pivot of the vector's length, the angle to it, and the quantised vector."""
+def _assign(pivots, whole: bool) -> Callable:  # noqa: ANN001
+    """Rows (c, v): (c, n, cell, angle, q, scale, lost, v): the nearest pivot of the vector's length, the angle to it, and the quantised vector; if `whole`, as it was too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pivots.value
@@ -95,18 +95,18 @@ def _assign(pivots) -> Callable:  # noqa: ANN001
                 else:  # no pivot of this length: one cell that reaches everywhere
                     cell, angle = np.zeros(len(x), np.int64), np.full(len(x), np.pi)
                 q, scale, lost = quantise(x)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(x), n, np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array([v.tobytes() for v in q], pa.binary()), pa.array(scale), pa.array(lost)], names=["c", "n", "cell", "angle", "q", "scale", "lost"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(x), n, np.int32)), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array([v.tobytes() for v in q], pa.binary()), pa.array(scale), pa.array(lost), pa.array([np.array(v, np.float64).tobytes() if whole else b"" for v in rows], pa.binary())], names=["c", "n", "cell", "angle", "q", "scale", "lost", "v"])
 
     return run
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (n, cell, part, c, q, scale, lost) in order of tile: a row for each PIECE vectors of a tile, or fewer."""
+    """Rows (n, cell, part, c, q, scale, lost, v) in order of tile: a row for each PIECE vectors of a tile, or fewer."""
 
     def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         n, cell, part = (t[k][0].as_py() for k in ("n", "cell", "part"))
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((n, pa.int32()), (cell, pa.int32()), (part, pa.int32()), (t["c"].to_numpy().tobytes(), pa.binary()), (b"".join(t["q"].to_pylist()), pa.binary()), (t["scale"].to_numpy().tobytes(), pa.binary()), (t["lost"].to_numpy().tobytes(), pa.binary()))], names=["n", "cell", "part", "c", "q", "scale", "lost"])
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((n, pa.int32()), (cell, pa.int32()), (part, pa.int32()), (t["c"].to_numpy().tobytes(), pa.binary()), (b"".join(t["q"].to_pylist()), pa.binary()), (t["scale"].to_numpy().tobytes(), pa.binary()), (t["lost"].to_numpy().tobytes(), pa.binary()), (b"".join(t["v"].to_pylist()), pa.binary()))], names=["n", "cell", "part", "c", "q", "scale", "lost", "v"])
 
     now, held, size = None, [], 0
     for b in batches:
@@ -145,7 +145,7 @@ def _partners(pivots, tiles, reach: float) -> Callable:  # noqa: ANN001
 
 
 def _pairs_of_tiles(found: Callable) -> Callable:
-    """Rows (pair, side, c, q, scale, lost) in order of pair: what `found` gives for the numbers, and the tile, of either side; of one tile alone for both."""
+    """Rows (pair, side, c, q, scale, lost, v) in order of pair: what `found` gives for the numbers, and the tile, of either side; of one tile alone for both."""
 
     def group(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
@@ -154,7 +154,7 @@ def _pairs_of_tiles(found: Callable) -> Callable:
             at = np.flatnonzero(sides == side)
             if len(at):
                 ids, scale, lost = (np.frombuffer(b"".join(t[k][int(i)].as_py() for i in at), d) for k, d in (("c", np.int64), ("scale", np.float64), ("lost", np.float64)))
-                tiles.append((ids, (np.frombuffer(b"".join(t["q"][int(i)].as_py() for i in at), np.int8).reshape(len(ids), -1), scale, lost)))
+                tiles.append((ids, (np.frombuffer(b"".join(t["q"][int(i)].as_py() for i in at), np.int8).reshape(len(ids), -1), scale, lost, np.frombuffer(b"".join(t["v"][int(i)].as_py() for i in at)).reshape(len(ids), -1))))
         yield from found(*tiles[0], *tiles[-1], len(tiles) == 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,23 +172,23 @@ def _pairs_of_tiles(found: Callable) -> Callable:
     return run
 
 
-def tile_pairs(vectors: DataFrame, count: int, threshold: float, found: Callable, schema: str, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def tile_pairs(vectors: DataFrame, count: int, threshold: float, found: Callable, schema: str, store: Callable[[DataFrame, str], DataFrame], whole: bool = False, tile: int | None = None) -> DataFrame:
     """What `found` gives for every pair of tiles of (c, v) that may hold a pair of vectors at the threshold; c are distinct bigints, `count` of them.
 
     The vectors fall to the nearest of some pivots (drawn by a hash, as many as there are tiles); cells of many vectors
     are split at random into tiles of int8 values. Pairs of tiles whose directions (the pivots', give or take the
     widest angle within) are too far apart for the threshold are left out. Vectors without a direction are in no
-    tile. store: computes a frame once, into a folder that all executors share.
+    tile. store: computes a frame once, into a folder that all executors share. whole: tiles hold the vectors as they were too. tile: vectors in one at most, TILE if None.
     """
     spark = vectors.sparkSession
     sc = spark.sparkContext
-    wanted = max(-(-count // TILE), min(TILES, count // LEAST), 1)
+    wanted = max(-(-count // (tile or TILE)), min(TILES, count // LEAST), 1)
     drawn: dict[int, list] = {}
     for b in vectors.where("v is not null").orderBy(F.xxhash64("c"), "c").limit(wanted).select("v").toArrow().to_batches():
         for n, _, some in by_length(b.column(0)):
             drawn.setdefault(n, []).extend(some)
     pivots = sc.broadcast({n: unit(some, n) for n, some in drawn.items()})
-    placed = store(vectors.where("v is not null").select("c", "v").mapInArrow(_assign(pivots), "c long, n int, cell int, angle double, q binary, scale double, lost double"), "placed")
+    placed = store(vectors.where("v is not null").select("c", "v").mapInArrow(_assign(pivots, whole), "c long, n int, cell int, angle double, q binary, scale double, lost double, v binary"), "placed")
     size = max(1, -(-count // wanted))
     cells = placed.groupBy("n", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     tiled = placed.join(F.broadcast(cells), ["n", "cell"]).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
@@ -197,7 +197,7 @@ def tile_pairs(vectors: DataFrame, count: int, threshold: float, found: Callable
     number = spark.range(0, known.num_rows, 1, min(max(1, known.num_rows), 2000))
     pairs = number.mapInArrow(_partners(pivots, tiles, float(np.arccos(min(1.0, threshold))) + 1e-6), "pair long, n int, cell int, part int, side int")
     key = ["n", "cell", "part"]
-    pieces = store(tiled.select(*key, "c", "q", "scale", "lost").repartition(max(1, min(known.num_rows, 2000)), *key).sortWithinPartitions(*key).mapInArrow(_pieces, "n int, cell int, part int, c binary, q binary, scale binary, lost binary"), "tiles")
+    pieces = store(tiled.select(*key, "c", "q", "scale", "lost", "v").repartition(max(1, min(known.num_rows, 2000)), *key).sortWithinPartitions(*key).mapInArrow(_pieces, "n int, cell int, part int, c binary, q binary, scale binary, lost binary, v binary"), "tiles")
     tasks = max(1, min(known.num_rows * (known.num_rows + 1) // 2, 20_000))
-    sent = pieces.join(pairs, key).select("pair", "side", "c", "q", "scale", "lost").repartition(tasks, "pair").sortWithinPartitions("pair")
+    sent = pieces.join(pairs, key).select("pair", "side", "c", "q", "scale", "lost", "v").repartition(tasks, "pair").sortWithinPartitions("pair")
     return sent.mapInArrow(_pairs_of_tiles(found), schema)

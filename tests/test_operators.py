@@ -590,3 +590,46 @@ def test_study_dedup_of_copies(spark):
     rows = [(0, text), (1, text), (2, text + " end"), (3, f" {text}\n"), (4, text.upper()), (5, ""), (6, " "), (7, None), (8, "other words that are near nothing here")]
     got = {r.id: r.status for r in D.study_dedup(spark.createDataFrame(rows, "id long, text string")).collect()}
     assert got == {0: "kept", 1: "exact_duplicate", 2: "near_duplicate", 3: "exact_duplicate", 4: "near_duplicate", 5: "kept", 6: "exact_duplicate", 7: "exact_duplicate", 8: "kept"}
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins shuffle, as they do on large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_semantic_dedup_in_rounds(spark, monkeypatch):
+    """Small rounds, vectors of two lengths, without a direction, and cosines that lie at the threshold."""
+    monkeypatch.setattr(D, "FIRST", 5)
+    monkeypatch.setattr(D, "HEAD", 20)
+    rng = np.random.default_rng(6)
+    made = [[float(v) for v in rng.integers(0, 3, size=4)] for _ in range(300)] + [[3.0, 4.0, 0.0, 0.0], [4.0, 3.0, 0.0, 0.0], None, [0.0] * 4, [float("nan"), 1.0], [], [1e-300, 1e-300, 0.0, 0.0]]
+    made += [[float(v) for v in rng.normal(size=2)] for _ in range(40)]
+    order = rng.permutation(len(made)).tolist()
+    kept = []
+    for k in range(len(made)):
+        v = made[order[k]]
+        if v and all(np.isfinite(v)) and np.dot(v, v) > 0 and any(len(w) == len(v) and np.dot(v, w) / (np.sqrt(np.dot(v, v)) * np.sqrt(np.dot(w, w))) >= 0.96 for _, w in kept if w and np.dot(w, w) > 0):
+            continue
+        kept.append((k, v))
+    df = spark.createDataFrame([(f"{k:04}", made[order[k]]) for k in range(len(made))], "id string, vector array<double>").repartition(3)
+    assert sorted(int(r.id) for r in D.semantic_dedup(df, 0.96).collect()) == [k for k, _ in kept]
+
+
+def test_semantic_dedup_lists_no_pairs(spark, no_broadcast):
+    """Of rows that are all near each other the first stays, and what shuffles follows the rows, not their pairs."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, [float(v) for v in 1 + rng.normal(size=8) * 0.01]) for k in range(1500)], "id long, vector array<double>")
+    before = shuffled(spark)
+    assert [r.id for r in D.semantic_dedup(df, 0.9).collect()] == [0]
+    assert shuffled(spark) - before < 300_000
+
+
+def test_cosine_pairs_do_not_shuffle(spark, no_broadcast):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, [float(v) for v in 1 + rng.normal(size=8) * 0.01]) for k in range(700)], "id long, vector array<double>")
+    before = shuffled(spark)
+    assert D.cosine_pairs(df, 0.9).count() == 700 * 699 // 2
+    assert shuffled(spark) - before < 700_000
